@@ -61,19 +61,27 @@ def build_index(docs: DataFrame, analyzer: str = "word", corpus_col: str = "corp
 
 def query_tokens(queries: DataFrame, keys: Sequence[str], text_col: str = "query",
                  analyzer: str = "word") -> DataFrame:
-    """Query side: (keys..., corpus_id, token, qtf); duplicates counted."""
-    return (queries.select(*keys, "corpus_id", F.explode(tokenize(F.col(text_col), analyzer)).alias("token"))
-            .groupBy(*keys, "corpus_id", "token").agg(F.count(F.lit(1)).alias("qtf")))
+    """Query side: (keys..., [corpus_id,] token, qtf); duplicates counted."""
+    pinned = ["corpus_id"] if "corpus_id" in queries.columns and "corpus_id" not in keys else []
+    return (queries.select(*keys, *pinned, F.explode(tokenize(F.col(text_col), analyzer)).alias("token"))
+            .groupBy(*keys, *pinned, "token").agg(F.count(F.lit(1)).alias("qtf")))
 
 
 def score(queries: DataFrame, index: dict[str, DataFrame], keys: Sequence[str],
           text_col: str = "query", analyzer: str = "word", k1: float = K1, b: float = B) -> DataFrame:
-    """BM25 score of every (query, doc) sharing a token; other docs score 0."""
+    """BM25 score of every (query, doc) sharing a token; other docs score 0.
+
+    A query row with a ``corpus_id`` is scored in that corpus only (the
+    candidate tables of a question); without one it is scored in every
+    corpus that shares a token with it, and no query x corpus pairs are
+    formed.
+    """
     qt = query_tokens(queries, keys, text_col, analyzer)
+    on = ["corpus_id", "token"] if "corpus_id" in qt.columns else ["token"]
     p = index["postings"]
     contrib = (F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1)
                / (F.col("tf") + k1 * (1 - b + b * F.col("norm"))))
-    return (qt.join(p, ["corpus_id", "token"])
+    return (qt.join(p, on)
             .groupBy(*keys, "corpus_id", "doc_ord").agg(F.sum(contrib).alias("score")))
 
 
@@ -98,6 +106,7 @@ def top_k_padded(scores: DataFrame, queries: DataFrame, index: dict[str, DataFra
     query x corpus product is formed.  Exact whenever scores are >= 0,
     i.e. whenever the corpus' mean idf is not negative.
     """
+    keys = [c for c in keys if c != "corpus_id"]
     w_last = Window.partitionBy("corpus_id").orderBy(F.desc("doc_ord"))
     tail = (index["docs"].select("corpus_id", "doc_ord")
             .withColumn("_r", F.row_number().over(w_last)).where(F.col("_r") <= 2 * k)
