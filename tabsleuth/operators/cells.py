@@ -34,20 +34,21 @@ def dense_row_ids(df: DataFrame, order_cols: Sequence[str | Column],
     the position inside the partition.  The offsets table has one row per
     partition, so broadcasting it is bounded by the partition count.
     """
-    from ..session import checkpoint_dir
+    from ..sources.store import materialize
     order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     n = num_partitions or df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    checkpoint_dir(df.sparkSession)
-    # The range bounds come from a sample; a second pass would sample again.
-    # A reliable checkpoint in the shared folder fixes the partitions once
-    # (and survives executor loss), so counts and ids see the same rows.
-    sorted_parts = (df.repartitionByRange(int(n), *order)
-                    .sortWithinPartitions(*order)
-                    .checkpoint(eager=True))
-    ranged = (sorted_parts
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_pos", F.monotonically_increasing_id()
-                          - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
+    # The range bounds come from a sample, so a second pass could cut the
+    # partitions differently.  Partition id and position are therefore
+    # written once (to the shared folder) as plain columns; counts and ids
+    # are computed from that written table and stay consistent even if
+    # tasks are re-run after an executor loss.
+    ranged = materialize(
+        df.repartitionByRange(int(n), *order)
+        .sortWithinPartitions(*order)
+        .withColumn("_pid", F.spark_partition_id())
+        .withColumn("_pos", F.monotonically_increasing_id()
+                    - F.shiftleft(F.spark_partition_id().cast("long"), 33)),
+        "ranked")
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
         "_pid",
@@ -57,6 +58,36 @@ def dense_row_ids(df: DataFrame, order_cols: Sequence[str | Column],
             .drop("_pid", "_pos", "_off"))
 
 
+def group_ordinals(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
+                   col: str = "ordinal", num_partitions: int | None = None) -> DataFrame:
+    """``row_number() over (partition by g order by o) - 1`` without sorting a
+    whole group in one task.
+
+    Rows are range-partitioned on (g, o), so a hot group is spread over
+    several partitions; the ordinal is the group's row count in earlier
+    partitions plus the position inside this partition.  The offsets table
+    has at most (#partitions x #groups) rows and is joined on (g, _pid).
+    """
+    from pyspark.sql import Window
+    from ..sources.store import materialize
+    g = list(group_cols)
+    order = [F.col(c) for c in [*g, *order_cols]]
+    n = num_partitions or df.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    ranged = materialize(
+        df.repartitionByRange(int(n), *order)
+        .sortWithinPartitions(*order)
+        .withColumn("_pid", F.spark_partition_id())
+        .withColumn("_pos", F.monotonically_increasing_id()
+                    - F.shiftleft(F.spark_partition_id().cast("long"), 33)),
+        "ordinals")
+    per = ranged.groupBy(*g, "_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_p0"))
+    w = Window.partitionBy(*g).orderBy("_pid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    off = per.select(*g, "_pid", "_p0", (F.sum("_n").over(w) - F.col("_n")).alias("_off"))
+    return (ranged.join(off, [*g, "_pid"])
+            .withColumn(col, (F.col("_off") + F.col("_pos") - F.col("_p0")).cast("long"))
+            .drop("_pid", "_pos", "_off", "_p0"))
+
+
 def _all_rows_by(c: str):
     from pyspark.sql import Window
     return Window.orderBy(c).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -33,6 +33,16 @@ def table_corpora(cells: DataFrame, budget: int) -> DataFrame:
     return s.unionByName(c).withColumn("corpus_id", corpus_key(F.col("data_type"), F.col("table_id")))
 
 
+def persist_index(docs: DataFrame, analyzer: str = "word") -> dict[str, DataFrame]:
+    """K6: BM25 index written to the shared folder, postings clustered by
+    (corpus_id, token) so a lookup reads few row groups."""
+    from ..sources.store import materialize
+    idx = bm25.build_index(docs, analyzer)
+    return {"postings": materialize(idx["postings"], "postings", sort_within=["corpus_id", "token"]),
+            "docs": materialize(idx["docs"], "doclen"),
+            "idf": idx["idf"], "stats": idx["stats"]}
+
+
 def corpus_key(data_type: Column, table_id: Column) -> Column:
     return F.concat(data_type, F.lit(":"), table_id)
 

@@ -1,4 +1,4 @@
 """Import every query module so that each registers its queries."""
 
-from . import q_corpus, q_retrieval  # noqa: F401
+from . import q_corpus, q_eval, q_retrieval  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -59,7 +59,13 @@ def star_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def star_tables(spark: SparkSession, sf_dir: str, names=DIM_TABLES) -> dict[str, DataFrame]:
-    return {n: star_table(spark, sf_dir, n) for n in names}
+    """Keyed star tables; the independent per-table id jobs are submitted
+    concurrently (Spark schedules jobs from several driver threads)."""
+    from concurrent.futures import ThreadPoolExecutor
+    names = list(names)
+    with ThreadPoolExecutor(max_workers=max(1, min(8, len(names)))) as pool:
+        frames = list(pool.map(lambda n: star_table(spark, sf_dir, n), names))
+    return dict(zip(names, frames))
 
 
 # --- oracle SQL -------------------------------------------------------------
@@ -115,3 +121,67 @@ def supplier_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_SUPPLIER_QUESTIONS = (
     "(SELECT s_suppkey AS question_id, 'Which customers and parts are linked to ' || s_name "
     "|| ' in ' || n_name || '?' AS question FROM supplier JOIN nation ON s_nationkey = n_nationkey)")
+
+
+# --- result records (r1), selection records, answers ----------------------------
+
+# Fixed value: the label of a question is one of the five event types by user_id % 5.
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+
+
+def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One result record per event: id = user, sc_id = order of the user's events."""
+    from ..operators.cells import group_ordinals
+    e = group_ordinals(load(spark, sf_dir, "events"), ["user_id"], ["event_id"], col="sc_id")
+    inp = (F.col("value") * 10).cast("long")
+    out = F.get_json_object("props", "$.k").cast("long")
+    return e.select(
+        F.concat(F.lit("databench-"), F.col("user_id").cast("string")).alias("id"),
+        "sc_id", "user_id", "event_id",
+        F.col("event_type").alias("answer"),
+        F.element_at(F.array(*[F.lit(t) for t in EVENT_TYPES]), (F.col("user_id") % 5 + 1).cast("int")).alias("label"),
+        inp.alias("input_token_count"), out.alias("output_token_count"),
+        F.when(F.col("event_id") % 7 == 0, F.lit(None).cast("long")).otherwise(inp + out).alias("total_token_count"),
+        (F.col("event_id") % 10 + 1).alias("n_iter"),
+        (F.col("value") * 100).cast("long").alias("init_prompt_token_count"),
+        "value", "ts")
+
+
+SQL_RESULTS = (
+    "(SELECT 'databench-' || CAST(user_id AS VARCHAR) AS id, "
+    "CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS BIGINT) AS sc_id, user_id, event_id, "
+    "event_type AS answer, ['click','error','purchase','signup','view'][user_id % 5 + 1] AS label, "
+    "CAST(trunc(value * 10) AS BIGINT) AS input_token_count, "
+    "CAST(json_extract_string(props, '$.k') AS BIGINT) AS output_token_count, "
+    "CASE WHEN event_id % 7 = 0 THEN NULL ELSE CAST(trunc(value * 10) AS BIGINT) + "
+    "CAST(json_extract_string(props, '$.k') AS BIGINT) END AS total_token_count, "
+    "event_id % 10 + 1 AS n_iter, CAST(trunc(value * 100) AS BIGINT) AS init_prompt_token_count, value, ts "
+    "FROM events)")
+
+
+def candidate_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retrieval output (c1): question = order, candidates = its suppliers by line."""
+    from ..operators.cells import group_ordinals
+    li = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                                                "l_extendedprice")
+    return (group_ordinals(li, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"],
+                           col="pos")
+            .withColumn("position", F.col("pos") + 1).drop("pos"))
+
+
+SQL_CANDIDATE_POSITIONS = (
+    "(SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, "
+    "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) "
+    "AS position FROM lineitem)")
+
+
+def gold_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold table of a question: supplier of its largest line (tie: smallest supplier)."""
+    li = load(spark, sf_dir, "lineitem")
+    return (li.groupBy("l_orderkey")
+            .agg(F.max_by("l_suppkey", F.struct(F.col("l_extendedprice"), -F.col("l_suppkey"))).alias("gold")))
+
+
+SQL_GOLD_SUPPLIERS = (
+    "(SELECT l_orderkey, arg_max(l_suppkey, struct_pack(p := l_extendedprice, s := -l_suppkey)) AS gold "
+    "FROM lineitem GROUP BY l_orderkey)")

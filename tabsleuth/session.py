@@ -52,6 +52,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables."""
-    base = checkpoint_dir(spark)
     import uuid
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+    base = checkpoint_dir(spark)
+    return f"{base.rstrip('/')}/tabsleuth/{name}-{uuid.uuid4().hex[:12]}"
