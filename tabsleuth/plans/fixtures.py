@@ -163,14 +163,14 @@ def candidate_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retrieval output (c1): question = order, candidates = its suppliers by line."""
     from ..operators.cells import group_ordinals
     li = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-                                                "l_extendedprice")
+                                                "l_extendedprice", "l_discount", "l_tax", "l_quantity")
     return (group_ordinals(li, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"],
                            col="pos")
             .withColumn("position", F.col("pos") + 1).drop("pos"))
 
 
 SQL_CANDIDATE_POSITIONS = (
-    "(SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, "
+    "(SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_discount, l_tax, l_quantity, "
     "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) "
     "AS position FROM lineitem)")
 
@@ -185,3 +185,78 @@ def gold_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_GOLD_SUPPLIERS = (
     "(SELECT l_orderkey, arg_max(l_suppkey, struct_pack(p := l_extendedprice, s := -l_suppkey)) AS gold "
     "FROM lineitem GROUP BY l_orderkey)")
+
+
+def retrieval_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retrieval output (c1) as JSON text per question, mixed shapes:
+    candidates as string / [id, score] / dict by part key, records as a
+    bare list or under "top_tables" / "results" by order key."""
+    from ..functions.render import render_double
+    p = candidate_positions(spark, sf_dir)
+    tid = F.concat(F.lit("S"), F.col("l_suppkey").cast("string"))
+    idkey = F.when(F.col("l_linenumber") % 2 == 1, F.lit("table_name")).otherwise(F.lit("table_id"))
+    cj = (F.when(F.col("l_partkey") % 3 == 0, F.concat(F.lit('"'), tid, F.lit('"')))
+          .when(F.col("l_partkey") % 3 == 1, F.concat(F.lit('["'), tid, F.lit('", '),
+                                                      render_double(F.col("l_discount")), F.lit("]")))
+          .otherwise(F.concat(F.lit('{"'), idkey, F.lit('": "'), tid, F.lit('", "rank": '),
+                              F.col("position").cast("string"), F.lit(', "caption": "supplier '),
+                              F.col("l_suppkey").cast("string"), F.lit('", "score": '),
+                              render_double(F.col("l_tax")), F.lit(', "bm25_score": '),
+                              render_double(F.col("l_quantity")), F.lit("}"))))
+    lst = (p.groupBy("l_orderkey")
+           .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", cj.alias("cj")))),
+                                         lambda s: s["cj"]), ", ").alias("body")))
+    body = F.concat(F.lit("["), F.col("body"), F.lit("]"))
+    k = F.col("l_orderkey").cast("string")
+    rec = (F.when(F.col("l_orderkey") % 3 == 0, body)
+           .when(F.col("l_orderkey") % 3 == 1, F.concat(F.lit('{"query_index": '), k, F.lit(', "top_tables": '),
+                                                      body, F.lit("}")))
+           .otherwise(F.concat(F.lit('{"query_index": '), k, F.lit(', "results": '), body, F.lit("}"))))
+    return lst.select("l_orderkey", rec.alias("record"))
+
+
+def _sql_rd(x: str) -> str:
+    return SQL_RENDER_DOUBLE.format(x=x)
+
+
+SQL_RETRIEVAL_RECORDS = f"""(WITH p AS {SQL_CANDIDATE_POSITIONS},
+c AS (SELECT l_orderkey, position, CASE WHEN l_partkey % 3 = 0 THEN '"S' || CAST(l_suppkey AS VARCHAR) || '"'
+  WHEN l_partkey % 3 = 1 THEN '["S' || CAST(l_suppkey AS VARCHAR) || '", ' || {_sql_rd('l_discount')} || ']'
+  ELSE '{{"' || CASE WHEN l_linenumber % 2 = 1 THEN 'table_name' ELSE 'table_id' END || '": "S'
+    || CAST(l_suppkey AS VARCHAR) || '", "rank": ' || CAST(position AS VARCHAR) || ', "caption": "supplier '
+    || CAST(l_suppkey AS VARCHAR) || '", "score": ' || {_sql_rd('l_tax')} || ', "bm25_score": '
+    || {_sql_rd('l_quantity')} || '}}' END AS cj FROM p),
+l AS (SELECT l_orderkey, '[' || string_agg(cj, ', ' ORDER BY position) || ']' AS body FROM c GROUP BY l_orderkey)
+SELECT l_orderkey, CASE WHEN l_orderkey % 3 = 0 THEN body
+  WHEN l_orderkey % 3 = 1 THEN '{{"query_index": ' || CAST(l_orderkey AS VARCHAR) || ', "top_tables": ' || body || '}}'
+  ELSE '{{"query_index": ' || CAST(l_orderkey AS VARCHAR) || ', "results": ' || body || '}}' END AS record FROM l)"""
+
+SQL_NORMALIZED_CANDIDATES = f"""(WITH r AS {SQL_RETRIEVAL_RECORDS},
+a AS (SELECT l_orderkey, CASE WHEN json_type(record::JSON) = 'ARRAY' THEN record::JSON
+  ELSE coalesce(json_extract(record, '$.top_tables'), json_extract(record, '$.tables'),
+                json_extract(record, '$.results')) END AS arr FROM r),
+e AS (SELECT l_orderkey, arr, unnest(range(CAST(json_array_length(arr) AS BIGINT))) AS i FROM a),
+x AS (SELECT l_orderkey, i + 1 AS position, json_extract(arr, '$[' || CAST(i AS VARCHAR) || ']') AS cand FROM e)
+SELECT l_orderkey, CAST(position AS BIGINT) AS position,
+  CAST(CASE WHEN json_type(cand) = 'OBJECT' THEN coalesce(TRY_CAST(json_extract_string(cand, '$.rank') AS INTEGER), position)
+       ELSE position END AS BIGINT) AS rank,
+  CASE json_type(cand) WHEN 'VARCHAR' THEN json_extract_string(cand, '$') WHEN 'ARRAY' THEN json_extract_string(cand, '$[0]')
+       ELSE coalesce(json_extract_string(cand, '$.table_id'), json_extract_string(cand, '$.table_name'),
+                     json_extract_string(cand, '$.dataset'), json_extract_string(cand, '$.table'),
+                     json_extract_string(cand, '$.id')) END AS table_id,
+  CASE json_type(cand) WHEN 'OBJECT' THEN coalesce(json_extract_string(cand, '$.title'), json_extract_string(cand, '$.caption'),
+       coalesce(json_extract_string(cand, '$.table_id'), json_extract_string(cand, '$.table_name')))
+       WHEN 'ARRAY' THEN json_extract_string(cand, '$[0]') ELSE json_extract_string(cand, '$') END AS title,
+  CASE WHEN json_type(cand) = 'ARRAY' AND json_type(cand, '$[1]') IN ('DOUBLE', 'BIGINT', 'UBIGINT')
+       THEN CAST(json_extract_string(cand, '$[1]') AS DOUBLE)
+       WHEN json_type(cand) = 'OBJECT' THEN TRY_CAST(json_extract_string(cand, '$.score') AS DOUBLE) END AS score,
+  CASE WHEN json_type(cand) = 'OBJECT' THEN TRY_CAST(json_extract_string(cand, '$.bm25_score') AS DOUBLE) END AS bm25_score,
+  CASE WHEN json_type(cand) = 'OBJECT' THEN TRY_CAST(json_extract_string(cand, '$.dense_score') AS DOUBLE) END AS dense_score
+FROM x)"""
+
+SQL_GOLD = f"(SELECT l_orderkey, 'S' || CAST(gold AS VARCHAR) AS gold_table_id FROM {SQL_GOLD_SUPPLIERS})"
+
+
+def gold_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gold_suppliers(spark, sf_dir).select(
+        "l_orderkey", F.concat(F.lit("S"), F.col("gold").cast("string")).alias("gold_table_id"))
