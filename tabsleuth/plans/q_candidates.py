@@ -37,12 +37,13 @@ def candidate_dedupe(spark, sf_dir):
 
 @register("gold_rank",
           DEDUP_CTE + """ SELECT g.l_orderkey, g.gold_table_id,
-  CAST((SELECT rank FROM c WHERE c.l_orderkey = g.l_orderkey AND c.table_id = g.gold_table_id) AS BIGINT) AS gold_rank
+  CAST((SELECT rank FROM c WHERE c.l_orderkey = g.l_orderkey AND c.table_id = g.gold_table_id) AS DOUBLE) AS gold_rank
   FROM g""")
 def gold_rank(spark, sf_dir):
     """Rank of the gold table among a question's candidates."""
     d = CD.dedupe(normalized(spark, sf_dir), ["l_orderkey"])
-    return CD.gold_rank(d, X.gold_tables(spark, sf_dir), ["l_orderkey"])
+    g = CD.gold_rank(d, X.gold_tables(spark, sf_dir), ["l_orderkey"])
+    return g.withColumn("gold_rank", F.col("gold_rank").cast("double"))
 
 
 @register("recall_at_k",
