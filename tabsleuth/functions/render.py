@@ -103,7 +103,8 @@ def json_string(c: Column) -> Column:
 
 
 # DuckDB spellings of the same rules, used by the oracle SQL.
-SQL_RENDER_DOUBLE = ("CASE WHEN {x} IS NULL THEN NULL WHEN isnan({x}) THEN 'nan' ELSE "
+SQL_RENDER_DOUBLE = ("CASE WHEN {x} IS NULL THEN NULL WHEN isnan({x}) THEN 'nan' "
+                     "WHEN abs({x}) < 1e15 AND (abs({x}) >= 1e-4 OR {x} = 0) THEN CAST({x} AS VARCHAR) ELSE "
                      "coalesce(regexp_replace(regexp_replace(CAST(TRY_CAST({x} AS DECIMAL(38,10)) AS VARCHAR), "
                      "'0+$', ''), '\\.$', '.0'), CAST({x} AS VARCHAR)) END")
 SQL_RENDER_TS = ("CASE WHEN strftime({x}, '%f') = '000000' THEN strftime({x}, '%Y-%m-%d %H:%M:%S') "

@@ -150,3 +150,31 @@ def row_col_sample(queries: DataFrame, wide_cells: DataFrame, row_docs: DataFram
     return (wide_cells.select("table_id", "row_id", "col_id", "value")
             .join(out["row"], ["table_id", "row_id"])
             .join(out["col"], [*keys, "table_id", "col_id"], "left_semi"))
+
+
+def build_or_reuse(docs: DataFrame, analyzer: str, root: str) -> DataFrame:
+    """K6: persisted BM25 postings keyed by an identity of each corpus
+    (analyzer, corpus id, document count, total text length).  Only
+    corpora whose identity is not yet under ``root`` are built (left anti
+    join); the rest is reused.  Returns (corpus_id, index_id, built, n_postings)."""
+    from pyspark.sql.utils import AnalysisException
+    spark = docs.sparkSession
+    ident = (docs.groupBy("corpus_id")
+             .agg(F.count(F.lit(1)).alias("_n"), F.sum(F.length("page_content")).alias("_len"))
+             .select("corpus_id", F.sha2(F.concat_ws("|", F.lit("bm25-v1"), F.lit(analyzer), "corpus_id",
+                                                     F.col("_n").cast("string"), F.col("_len").cast("string")),
+                                         256).alias("index_id")))
+    try:
+        existing = spark.read.parquet(root).select("index_id").distinct()
+    except AnalysisException:
+        existing = spark.createDataFrame([], "index_id string")
+    missing = ident.join(existing, "index_id", "left_anti")
+    todo = docs.join(missing, "corpus_id", "left_semi")
+    if not missing.isEmpty():
+        idx = bm25.build_index(todo, analyzer)
+        (idx["postings"].join(missing, "corpus_id").write.mode("append")
+         .partitionBy("index_id").parquet(root))
+    built = missing.select("index_id", F.lit(True).alias("built"))
+    stored = spark.read.parquet(root).groupBy("index_id").agg(F.count(F.lit(1)).alias("n_postings"))
+    return (ident.join(built, "index_id", "left").join(stored, "index_id", "left")
+            .select("corpus_id", "index_id", F.coalesce("built", F.lit(False)).alias("built"), "n_postings"))
