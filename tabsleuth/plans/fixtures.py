@@ -53,9 +53,23 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_KEYED: dict = {}
+
+
+def session_memo(spark: SparkSession, key: tuple, build):
+    """Reuse a DataFrame backed by written tables within one application
+    (the written folders live as long as the shared checkpoint folder)."""
+    k = (spark.sparkContext.applicationId, *key)
+    if k not in _KEYED:
+        _KEYED[k] = build()
+    return _KEYED[k]
+
+
 def star_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A star table with ``row_id`` = position in its declared key order."""
-    return dense_row_ids(load(spark, sf_dir, name), STAR_KEYS[name])
+    """A star table with ``row_id`` = position in its declared key order
+    (keyed once per application and data folder, then reused)."""
+    return session_memo(spark, ("star", sf_dir, name),
+                        lambda: dense_row_ids(load(spark, sf_dir, name), STAR_KEYS[name]))
 
 
 def star_tables(spark: SparkSession, sf_dir: str, names=DIM_TABLES) -> dict[str, DataFrame]:

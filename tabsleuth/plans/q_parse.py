@@ -173,3 +173,13 @@ def answer_record(spark, sf_dir):
                     sel["table_id"].alias("selected_table_id"), sel["rank"].cast("double").alias("selected_rank"),
                     F.coalesce(sel["table_id"] == gold, F.lit(False)).alias("selected_is_gold"),
                     F.array_contains(ids, gold).alias("gold_in_candidates"))
+
+
+@register("token_count",
+          "SELECT conv_id, turn, role, CAST(len(regexp_extract_all(text, '\\w+|[^\\w\\s]')) AS BIGINT) AS n_tokens "
+          "FROM conversations")
+def token_count(spark, sf_dir):
+    """SC17: default token counter over every whole conversation turn."""
+    from ..functions.text import token_count as tc
+    c = X.load(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", "role", tc(F.col("text")).cast("long").alias("n_tokens"))
