@@ -10,7 +10,8 @@ from ..functions import answers as A
 from ..operators import evaluate as E
 from . import fixtures as X
 from .registry import register
-from .sql_answers import sql_normalize_answer, sql_number, sql_number_print, sql_date_parts, sql_value_printed
+from .sql_answers import (sql_date_parts, sql_normalize, sql_normalize_answer, sql_number, sql_number_print,
+                          sql_value_printed)
 
 R = X.SQL_RESULTS
 
@@ -102,11 +103,17 @@ def value_match(spark, sf_dir):
     return v.select("o_orderkey", A.value_match(F.col("va"), F.col("vb")).alias("matched"))
 
 
-@register("text_normalize")
+@register("text_normalize",
+          f"SELECT 'documents' AS src, doc_id AS key, {sql_normalize('strip_accents(text)')} AS normalized "
+          f"FROM documents UNION ALL SELECT 'pages', page_id, {sql_normalize('strip_accents(html)')} FROM pages")
 def text_normalize(spark, sf_dir):
-    """SC1: full answer normaliser (accent fold + JVM regex) on whole page titles and documents."""
-    d = X.load(spark, sf_dir, "documents")
-    return d.select("doc_id", A.normalize(F.col("text")).alias("normalized"))
+    """SC1: the answer normaliser (Arrow accent fold + JVM regex) on whole
+    documents and whole pages."""
+    d = X.load(spark, sf_dir, "documents").select(F.lit("documents").alias("src"), F.col("doc_id").alias("key"),
+                                                   F.col("text").alias("t"))
+    p = X.load(spark, sf_dir, "pages").select(F.lit("pages").alias("src"), F.col("page_id").alias("key"),
+                                              F.col("html").alias("t"))
+    return d.unionByName(p).select("src", "key", A.normalize(F.col("t")).alias("normalized"))
 
 
 @register("finance_format",

@@ -41,8 +41,8 @@ def sql_date_parts(x: str) -> tuple[str, str, str, str]:
 def sql_normalize(x: str, passes: int = 4) -> str:
     e = f"translate({x}, '‘’´`“”‐‑‒–—−', '''''''\"\"------')"
     for _ in range(passes):
-        e = f"regexp_replace(trim({e}), '^(.+?)((\\[[^\\]]*\\]|\\[\\d+\\]|[•♦†‡*#+])*)$', '\\1')"
-        e = f"regexp_replace(trim({e}), '^(.+?)(( \\([^)]*\\))*)$', '\\1')"
+        e = f"regexp_replace(trim({e}), '(?s)^(.+?)((\\[[^\\]]*\\]|\\[\\d+\\]|[•♦†‡*#+])*)$', '\\1')"
+        e = f"regexp_replace(trim({e}), '(?s)^(.+?)(( \\([^)]*\\))*)$', '\\1')"
         e = f"regexp_replace(trim({e}), '^\"([^\"]*)\"$', '\\1')"
     e = f"regexp_replace({e}, '\\.$', '')"
     return f"trim(lower(regexp_replace({e}, '\\s+', ' ', 'g')))"
