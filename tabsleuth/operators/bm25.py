@@ -34,14 +34,24 @@ EPSILON = 0.25
 
 def build_index(docs: DataFrame, analyzer: str = "word", corpus_col: str = "corpus_id",
                 doc_col: str = "doc_ord", text_col: str = "page_content") -> dict[str, DataFrame]:
-    """R2: postings with tf, length norm and idf for every corpus."""
+    """R2: postings with tf, length norm and idf for every corpus.
+
+    Texts are tokenized once: the document length travels with the
+    exploded tokens into the (corpus, doc, token) count, and N comes from an
+    id-only scan (empty documents count in N and in the mean length, as in
+    the reference).  ``tf`` feeds the vocabulary, the totals and the
+    postings through one reused shuffle.
+    """
+    ids = docs.select(F.col(corpus_col).alias("corpus_id"), F.col(doc_col).alias("doc_ord"))
     toks = docs.select(F.col(corpus_col).alias("corpus_id"), F.col(doc_col).alias("doc_ord"),
                        tokenize(F.col(text_col), analyzer).alias("toks"))
-    dl = toks.select("corpus_id", "doc_ord", F.size("toks").alias("dl"))
-    stats = dl.groupBy("corpus_id").agg(F.count(F.lit(1)).alias("n_docs"),
-                                       F.avg("dl").alias("avgdl"))
-    tf = (toks.select("corpus_id", "doc_ord", F.explode("toks").alias("token"))
-          .groupBy("corpus_id", "doc_ord", "token").agg(F.count(F.lit(1)).alias("tf")))
+    tf = (toks.select("corpus_id", "doc_ord", F.size("toks").alias("dl"), F.explode("toks").alias("token"))
+          .groupBy("corpus_id", "doc_ord", "token")
+          .agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl")))
+    n_docs = ids.groupBy("corpus_id").agg(F.count(F.lit(1)).alias("n_docs"))
+    total = tf.groupBy("corpus_id").agg(F.sum("tf").alias("_tokens"))
+    stats = (n_docs.join(total, "corpus_id", "left")
+             .select("corpus_id", "n_docs", (F.coalesce("_tokens", F.lit(0)) / F.col("n_docs")).alias("avgdl")))
     dfreq = tf.groupBy("corpus_id", "token").agg(F.count(F.lit(1)).alias("df"))
     raw = (dfreq.join(stats.select("corpus_id", "n_docs"), "corpus_id")
            .withColumn("idf_raw", F.ln(F.col("n_docs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)))
@@ -50,13 +60,12 @@ def build_index(docs: DataFrame, analyzer: str = "word", corpus_col: str = "corp
            .select("corpus_id", "token", "df",
                    F.when(F.col("idf_raw") < 0, EPSILON * F.col("avg_idf"))
                    .otherwise(F.col("idf_raw")).alias("idf")))
-    postings = (tf.join(dl, ["corpus_id", "doc_ord"])
-                .join(stats.select("corpus_id", "avgdl"), "corpus_id")
+    postings = (tf.join(stats.select("corpus_id", "avgdl"), "corpus_id")
                 .join(idf.select("corpus_id", "token", "idf"), ["corpus_id", "token"])
                 .select("corpus_id", "token", "doc_ord", "tf",
                         (F.col("dl") / F.col("avgdl")).alias("norm"), "idf"))
     return {"postings": postings, "idf": idf, "stats": stats.join(avg_idf, "corpus_id", "left"),
-            "docs": dl}
+            "docs": ids}
 
 
 def query_tokens(queries: DataFrame, keys: Sequence[str], text_col: str = "query",

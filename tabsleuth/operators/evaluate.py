@@ -68,7 +68,9 @@ def quartiles(df: DataFrame, col: str, group: Sequence[str] = ()) -> DataFrame:
     if not g:
         vals = vals.withColumn("_g", F.lit(0))
         g = ["_g"]
-    ranked = group_ordinals(vals, g, ["_v"], col="_r")
+    from ..sources.store import materialize
+    # written once: the ranks are read three times (count, low and high neighbours)
+    ranked = materialize(group_ordinals(vals, g, ["_v"], col="_r"), "quantile-ranks")
     n = ranked.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
     pos = n.select(*g, F.explode(F.array(*[F.struct(F.lit(q).alias("q"), (F.lit(q) * (F.col("_n") - 1)).alias("h"))
                                            for q in (0.25, 0.5, 0.75)])).alias("_p"))

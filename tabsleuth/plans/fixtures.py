@@ -144,7 +144,13 @@ EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One result record per event: id = user, sc_id = order of the user's events."""
+    """One result record per event: id = user, sc_id = order of the user's
+    events (written once per application and data folder)."""
+    from ..sources.store import materialize
+    return session_memo(spark, ("results", sf_dir), lambda: materialize(_results(spark, sf_dir), "results"))
+
+
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.cells import group_ordinals
     e = group_ordinals(load(spark, sf_dir, "events"), ["user_id"], ["event_id"], col="sc_id")
     inp = (F.col("value") * 10).cast("long")

@@ -17,8 +17,14 @@ DEDUP_CTE = (f"WITH n AS {N}, d AS (SELECT n.* FROM n JOIN (SELECT l_orderkey, t
 
 
 def normalized(spark, sf_dir):
-    recs = X.retrieval_records(spark, sf_dir)
-    return CD.normalize_candidates(CD.explode_records(recs, "record", ["l_orderkey"]), ["l_orderkey"])
+    """Normalised candidates, written once per application and data folder."""
+    from ..sources.store import materialize
+
+    def build():
+        recs = X.retrieval_records(spark, sf_dir)
+        n = CD.normalize_candidates(CD.explode_records(recs, "record", ["l_orderkey"]), ["l_orderkey"])
+        return materialize(n, "candidates-normalized")
+    return X.session_memo(spark, ("candidates", sf_dir), build)
 
 
 @register("candidate_normalize", f"SELECT * FROM {N}")
