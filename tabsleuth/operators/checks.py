@@ -43,6 +43,15 @@ def run_checks(spark, sf_dir: str, strict: bool = False) -> DataFrame:
         check_row("order_ids_complete", const(spark, 0), count_of(violations(ids, o, "o_orderkey"))),
         check_row("lines_have_orders", const(spark, 0),
                   count_of(violations(li, o.withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey"))),
+        # one retrieval record per annotated question
+        check_row("records_match_questions", li.agg(F.count_distinct("l_orderkey")),
+                  li.groupBy("l_orderkey").agg(F.max("l_extendedprice").alias("m")).agg(F.count(F.lit(1)))),
+        # F16: the question sets of orders and of order lines, compared both ways
+        check_row("question_sets_equal", const(spark, 0), count_of(
+            violations(li.select("l_orderkey").distinct(), o.withColumnRenamed("o_orderkey", "l_orderkey"),
+                       "l_orderkey").unionByName(
+                violations(o.select(F.col("o_orderkey").alias("l_orderkey")), li.select("l_orderkey"),
+                           "l_orderkey")))),
     ]
     out = rows[0]
     for r in rows[1:]:

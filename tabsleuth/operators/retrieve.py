@@ -119,8 +119,8 @@ def outer_retrieval(questions: DataFrame, table_docs: DataFrame, keys: Sequence[
 
     Returns keys..., rank, table_id, score (the candidate list, J2/A12 input).
     """
-    w = Window.partitionBy("corpus_id").orderBy("table_id")
-    docs = table_docs.withColumn("doc_ord", (F.row_number().over(w) - 1).cast("long"))
+    from .cells import dense_row_ids
+    docs = dense_row_ids(table_docs, ["corpus_id", "table_id"], col="doc_ord")
     index = bm25.build_index(docs, analyzer)
     q = questions.select(*keys, F.col("question").alias("query"), F.lit("tables").alias("corpus_id"))
     sc = bm25.score(q, index, list(keys), analyzer=analyzer)

@@ -333,9 +333,26 @@ def resume_pending(spark, sf_dir):
   UNION ALL SELECT 'parts_exist', 0, (SELECT count(*) FROM lineitem l ANTI JOIN part p ON p.p_partkey = l.l_partkey)
   UNION ALL SELECT 'order_ids_complete', 0, (SELECT count(*) FROM (SELECT unnest(range(0, (SELECT max(o_orderkey) + 1
          FROM orders))) AS k) r ANTI JOIN orders o ON o.o_orderkey = r.k)
-  UNION ALL SELECT 'lines_have_orders', 0, (SELECT count(*) FROM lineitem l ANTI JOIN orders o ON o.o_orderkey = l.l_orderkey))
+  UNION ALL SELECT 'lines_have_orders', 0, (SELECT count(*) FROM lineitem l ANTI JOIN orders o ON o.o_orderkey = l.l_orderkey)
+  UNION ALL SELECT 'records_match_questions', (SELECT count(DISTINCT l_orderkey) FROM lineitem),
+         (SELECT count(*) FROM (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey))
+  UNION ALL SELECT 'question_sets_equal', 0, (SELECT count(*) FROM (
+         SELECT DISTINCT l_orderkey FROM lineitem l ANTI JOIN orders o ON o.o_orderkey = l.l_orderkey)) +
+         (SELECT count(*) FROM orders o ANTI JOIN lineitem l ON l.l_orderkey = o.o_orderkey))
 SELECT check_name, CAST(expected AS BIGINT) AS expected, CAST(actual AS BIGINT) AS actual, expected = actual AS ok FROM c""")
 def checks(spark, sf_dir):
     """Existence, uniqueness and completeness assertions."""
     from ..operators.checks import run_checks
     return run_checks(spark, sf_dir)
+
+
+@register("missing_ids",
+          "SELECT k AS ord FROM (SELECT unnest(range(0, (SELECT max(o_orderkey) + 1 FROM orders))) AS k) r "
+          "ANTI JOIN (SELECT DISTINCT l_orderkey FROM lineitem) l ON l.l_orderkey = r.k ORDER BY k LIMIT 20")
+def missing_ids(spark, sf_dir):
+    """The first 20 question ids (0..n-1) without a response (here:
+    orders without lines); listing the first 20 is the report itself."""
+    o = X.load(spark, sf_dir, "orders")
+    n = o.agg(F.max("o_orderkey")).collect()[0][0] + 1
+    present = X.load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("ord")).distinct()
+    return E.missing_ids(present, int(n)).orderBy("ord").limit(20)
