@@ -11,6 +11,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import strip_ws
+
 # The markers of the reasoning protocol.
 FINAL_MARK = "final answer:"
 THOUGHT_MARK = "thought:"
@@ -27,15 +29,15 @@ def _after_last(text: Column, marker: str, case_insensitive: bool) -> Column:
 
 def final_candidate(text: Column) -> Column:
     """SC11 step 1 (L8): the text that should hold the final JSON."""
-    c = F.trim(text)
+    c = strip_ws(text)
     low = F.lower(c)
-    after = F.trim(F.substring_index(_after_last(c, FINAL_MARK, True), "\n", 1))
+    after = strip_ws(F.substring_index(_after_last(c, FINAL_MARK, True), "\n", 1))
     c = (F.when(low.contains(FINAL_MARK), after)
-         .when(low.startswith(THOUGHT_MARK), F.trim(F.substring(c, len(THOUGHT_MARK) + 1, 1 << 30)))
+         .when(low.startswith(THOUGHT_MARK), strip_ws(F.substring(c, len(THOUGHT_MARK) + 1, 1 << 30)))
          .otherwise(c))
     fenced = c.startswith("```")
-    stripped = F.trim(F.regexp_replace(c, r"^`+|`+$", ""))
-    stripped = F.when(F.lower(stripped).startswith("json"), F.trim(F.substring(stripped, 5, 1 << 30))) \
+    stripped = strip_ws(F.regexp_replace(c, r"^`+|`+$", ""))
+    stripped = F.when(F.lower(stripped).startswith("json"), strip_ws(F.substring(stripped, 5, 1 << 30))) \
         .otherwise(stripped)
     return F.when(fenced, stripped).otherwise(c)
 
@@ -71,7 +73,7 @@ def is_terminal(text: Column, parsed_ok: Column | None = None) -> Column:
 def parse_plain(text: Column) -> Column:
     """SC12: text after the last 'Answer:', first line, stripped."""
     return F.when(text.contains(ANSWER_MARK),
-                  F.trim(F.substring_index(_after_last(text, ANSWER_MARK, False), "\n", 1)))
+                  strip_ws(F.substring_index(_after_last(text, ANSWER_MARK, False), "\n", 1)))
 
 
 def parse_action(text: Column) -> Column:
@@ -82,7 +84,7 @@ def parse_action(text: Column) -> Column:
     has_triple = after.rlike(r"(?is)```(\w*\s*)?(.*?)```")
     single = F.regexp_extract(after, r"(?s)`(.*?)`", 1)
     has_single = after.rlike(r"(?s)`(.*?)`")
-    code = (F.when(has_triple, F.trim(triple)).when(has_single, F.trim(single)).otherwise(F.trim(after)))
+    code = (F.when(has_triple, strip_ws(triple)).when(has_single, strip_ws(single)).otherwise(strip_ws(after)))
     return F.when(text.contains(ACTION_MARK), code)
 
 
@@ -106,7 +108,7 @@ def observation_text(code: Column, output: Column, n_rows: Column | None = None)
     c = F.when(code.isNull(), F.lit("Error: no action found."))
     if n_rows is not None:
         c = c.when(n_rows == 0, F.lit("Empty DataFrame"))
-    return (c.when(F.coalesce(F.trim(output), F.lit("")) == "", F.lit("success!"))
+    return (c.when(F.coalesce(strip_ws(output), F.lit("")) == "", F.lit("success!"))
             .when(output.contains("\n"), F.concat(F.lit("\n"), output))
             .otherwise(output))
 

@@ -28,6 +28,17 @@ def sql_tokenize(x: str, analyzer: str = "word") -> str:
     return f"regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}]+')"
 
 
+def strip_ws(c: Column) -> Column:
+    """``str.strip()``: leading and trailing whitespace of any kind (Spark's
+    ``trim`` removes spaces only)."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
+def sql_strip(x: str) -> str:
+    """DuckDB twin of :func:`strip_ws`."""
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
 def token_count(text: Column) -> Column:
     """SC17: default token counter, words and single punctuation marks; '' -> 0."""
     return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(COUNT_PATTERN), 0)), F.lit(0))
@@ -45,7 +56,7 @@ def is_numeric_text(text: Column) -> Column:
 
 def clean_queries(queries: Column, remove_numeric: bool = False) -> Column:
     """F5 (+F4): strip, drop blanks (and numbers), keep first occurrences in order."""
-    q = F.filter(F.transform(queries, lambda s: F.trim(s)), lambda s: s != "")
+    q = F.filter(F.transform(queries, lambda s: strip_ws(s)), lambda s: s != "")
     if remove_numeric:
         q = F.filter(q, lambda s: ~is_numeric_text(s))
     return F.array_distinct(q)

@@ -262,7 +262,7 @@ def selection_records(spark, sf_dir):
 
 @register("selection_breakdown",
           f"""WITH rec AS (SELECT p.l_orderkey, CASE WHEN p.l_orderkey % 11 <> 0 THEN p.l_suppkey = g.gold END AS sg,
-  coalesce(trim(o.o_orderstatus), '') = 'F' AS ok FROM {X.SQL_CANDIDATE_POSITIONS} p
+  coalesce(regexp_replace(o.o_orderstatus, '^\\s+|\\s+$', '', 'g'), '') = 'F' AS ok FROM {X.SQL_CANDIDATE_POSITIONS} p
   JOIN {X.SQL_GOLD_SUPPLIERS} g USING (l_orderkey) JOIN orders o ON o.o_orderkey = p.l_orderkey WHERE p.position = 1),
 s AS (SELECT count(*) AS total, count_if(sg) AS gold, count_if(NOT sg) AS wrong, count_if(ok) AS correct,
   count_if(NOT ok) AS incorrect, count_if(sg AND ok) AS gc, count_if(sg AND NOT ok) AS gw,
@@ -304,8 +304,8 @@ def call_usage(spark, sf_dir):
 # --- export, resume, checks --------------------------------------------------------------
 
 @register("responses_export",
-          "SELECT CAST(user_id AS BIGINT) AS ord, id, coalesce(trim(regexp_replace(answer || CASE WHEN event_id % 13 = 0 "
-          f"THEN chr(10) || 'x' ELSE '' END, '[\\r\\n]', ' ', 'g')), '') AS line FROM {R} WHERE sc_id = 0")
+          "SELECT CAST(user_id AS BIGINT) AS ord, id, coalesce(regexp_replace(regexp_replace(answer || CASE WHEN event_id % 13 = 0 "
+          f"THEN chr(10) || 'x' ELSE '' END, '[\\r\\n]', ' ', 'g'), '^\\s+|\\s+$', '', 'g'), '') AS line FROM {R} WHERE sc_id = 0")
 def responses_export(spark, sf_dir):
     """K3 D5 SC19 SC21 F12: one cleaned answer line per question, ordered by id number."""
     r = X.results(spark, sf_dir)

@@ -42,12 +42,12 @@ SQL_REPLIES = f"""(SELECT event_id, user_id, event_type, CASE event_id % 5
        || '["value"].mean()' || chr(10) || '```' || chr(10) || 'Observation: 1'
   ELSE 'Final Answer: not json ' || event_type END AS reply FROM events)"""
 
-_C1 = ("CASE WHEN contains(lower(trim(reply)), 'final answer:') THEN trim(split_part(regexp_extract(trim(reply), "
-       "'(?is).*final answer:(.*)', 1), chr(10), 1)) WHEN starts_with(lower(trim(reply)), 'thought:') "
-       "THEN trim(substr(trim(reply), 9)) ELSE trim(reply) END")
-_S = f"trim(regexp_replace({_C1}, '^`+|`+$', '', 'g'))"
+_C1 = ("CASE WHEN contains(lower(regexp_replace(reply, '^\\s+|\\s+$', '', 'g')), 'final answer:') THEN regexp_replace(split_part(regexp_extract(regexp_replace(reply, '^\\s+|\\s+$', '', 'g'), "
+       "'(?is).*final answer:(.*)', 1), chr(10), 1), '^\\s+|\\s+$', '', 'g') WHEN starts_with(lower(regexp_replace(reply, '^\\s+|\\s+$', '', 'g')), 'thought:') "
+       "THEN regexp_replace(substr(regexp_replace(reply, '^\\s+|\\s+$', '', 'g'), 9), '^\\s+|\\s+$', '', 'g') ELSE regexp_replace(reply, '^\\s+|\\s+$', '', 'g') END")
+_S = f"regexp_replace(regexp_replace({_C1}, '^`+|`+$', '', 'g'), '^\\s+|\\s+$', '', 'g')"
 _CAND = (f"CASE WHEN starts_with({_C1}, '```') THEN CASE WHEN starts_with(lower({_S}), 'json') "
-         f"THEN trim(substr({_S}, 5)) ELSE {_S} END ELSE {_C1} END")
+         f"THEN regexp_replace(substr({_S}, 5), '^\\s+|\\s+$', '', 'g') ELSE {_S} END ELSE {_C1} END")
 _LIT = ("regexp_replace(regexp_replace(regexp_replace(replace(cand, '''', '\"'), '\\bTrue\\b', 'true', 'g'), "
         "'\\bFalse\\b', 'false', 'g'), '\\bNone\\b', 'null', 'g')")
 SQL_PARSED = f"""(WITH a AS (SELECT *, {_CAND} AS cand FROM {SQL_REPLIES}),
@@ -55,7 +55,7 @@ b AS (SELECT *, CASE WHEN json_valid(cand) THEN cand::JSON WHEN json_valid({_LIT
 SELECT *, coalesce(json_type(j) = 'OBJECT' AND json_exists(j, '$.table_source') AND json_exists(j, '$.answer'), false)
   AS ok FROM b)"""
 SQL_FORMAT = ("CASE json_type(j, '$.answer') WHEN 'BOOLEAN' THEN CASE WHEN json_extract_string(j, '$.answer') = 'true' "
-              "THEN 'True' ELSE 'False' END WHEN 'NULL' THEN '' ELSE trim(json_extract_string(j, '$.answer')) END")
+              "THEN 'True' ELSE 'False' END WHEN 'NULL' THEN '' ELSE regexp_replace(json_extract_string(j, '$.answer'), '^\\s+|\\s+$', '', 'g') END")
 
 
 @register("parse_final",
@@ -71,8 +71,8 @@ def parse_final(spark, sf_dir):
 
 
 @register("parse_plain",
-          "SELECT event_id, CASE WHEN contains(reply, 'Answer:') THEN trim(split_part(regexp_extract(reply, "
-          f"'(?s).*Answer:(.*)', 1), chr(10), 1)) END AS answer FROM {SQL_REPLIES}")
+          "SELECT event_id, CASE WHEN contains(reply, 'Answer:') THEN regexp_replace(split_part(regexp_extract(reply, "
+          f"'(?s).*Answer:(.*)', 1), chr(10), 1), '^\\s+|\\s+$', '', 'g') END AS answer FROM {SQL_REPLIES}")
 def parse_plain(spark, sf_dir):
     """SC12: text after the last 'Answer:'."""
     return replies(spark, sf_dir).select("event_id", P.parse_plain(F.col("reply")).alias("answer"))
@@ -83,9 +83,9 @@ _AFTER = "regexp_extract(reply, '(?s).*Action:(.*)', 1)"
 
 @register("parse_action",
           f"SELECT event_id, CASE WHEN contains(reply, 'Action:') THEN CASE "
-          f"WHEN regexp_matches({_AFTER}, '(?is)```(\\w*\\s*)?(.*?)```') THEN trim(regexp_extract({_AFTER}, '(?is)```(\\w*\\s*)?(.*?)```', 2)) "
-          f"WHEN regexp_matches({_AFTER}, '(?s)`(.*?)`') THEN trim(regexp_extract({_AFTER}, '(?s)`(.*?)`', 1)) "
-          f"ELSE trim({_AFTER}) END END AS code FROM {SQL_REPLIES}")
+          f"WHEN regexp_matches({_AFTER}, '(?is)```(\\w*\\s*)?(.*?)```') THEN regexp_replace(regexp_extract({_AFTER}, '(?is)```(\\w*\\s*)?(.*?)```', 2), '^\\s+|\\s+$', '', 'g') "
+          f"WHEN regexp_matches({_AFTER}, '(?s)`(.*?)`') THEN regexp_replace(regexp_extract({_AFTER}, '(?s)`(.*?)`', 1), '^\\s+|\\s+$', '', 'g') "
+          f"ELSE regexp_replace({_AFTER}, '^\\s+|\\s+$', '', 'g') END END AS code FROM {SQL_REPLIES}")
 def parse_action(spark, sf_dir):
     """SC14: the code of the last action (fenced, backticked or raw)."""
     return replies(spark, sf_dir).select("event_id", P.parse_action(F.col("reply")).alias("code"))
@@ -125,7 +125,7 @@ OUT_TEXT = "CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'a' || chr(10) || 'b' E
 
 @register("observation_text",
           f"SELECT event_id, CASE WHEN code IS NULL THEN 'Error: no action found.' "
-          f"WHEN coalesce(trim(o), '') = '' THEN 'success!' WHEN contains(o, chr(10)) THEN chr(10) || o ELSE o END AS obs "
+          f"WHEN coalesce(regexp_replace(o, '^\\s+|\\s+$', '', 'g'), '') = '' THEN 'success!' WHEN contains(o, chr(10)) THEN chr(10) || o ELSE o END AS obs "
           f"FROM (SELECT event_id, {OUT_TEXT} AS o, CASE WHEN contains(reply, 'Action:') THEN 'x' END AS code "
           f"FROM {SQL_REPLIES})")
 def observation_text(spark, sf_dir):

@@ -12,9 +12,9 @@ from ..functions.render import SQL_RENDER_DOUBLE
 
 
 def sql_number(x: str) -> str:
-    body = f"(CASE WHEN starts_with({x}, '$') THEN trim(substr({x}, 2)) ELSE {x} END)"
+    body = f"(CASE WHEN starts_with({x}, '$') THEN regexp_replace(substr({x}, 2), '^\\s+|\\s+$', '', 'g') ELSE {x} END)"
     return (f"(CASE WHEN regexp_matches({body}, '{INT_TEXT}') OR regexp_matches({body}, '{FLOAT_TEXT}') "
-            f"THEN TRY_CAST(trim(replace({body}, '_', '')) AS DOUBLE) END)")
+            f"THEN TRY_CAST(regexp_replace(replace({body}, '_', ''), '^\\s+|\\s+$', '', 'g') AS DOUBLE) END)")
 
 
 def sql_number_print(a: str) -> str:
@@ -24,7 +24,7 @@ def sql_number_print(a: str) -> str:
 
 def _sql_part(p: str, ph: str) -> str:
     return (f"(CASE WHEN {p} IN ({ph}) THEN -1 WHEN regexp_matches({p}, '{INT_TEXT}') "
-            f"THEN TRY_CAST(trim(replace({p}, '_', '')) AS INTEGER) END)")
+            f"THEN TRY_CAST(regexp_replace(replace({p}, '_', ''), '^\\s+|\\s+$', '', 'g') AS INTEGER) END)")
 
 
 def sql_date_parts(x: str) -> tuple[str, str, str, str]:
@@ -41,11 +41,11 @@ def sql_date_parts(x: str) -> tuple[str, str, str, str]:
 def sql_normalize(x: str, passes: int = 4) -> str:
     e = f"translate({x}, '‘’´`“”‐‑‒–—−', '''''''\"\"------')"
     for _ in range(passes):
-        e = f"regexp_replace(trim({e}), '(?s)^(.+?)((\\[[^\\]]*\\]|\\[\\d+\\]|[•♦†‡*#+])*)$', '\\1')"
-        e = f"regexp_replace(trim({e}), '(?s)^(.+?)(( \\([^)]*\\))*)$', '\\1')"
-        e = f"regexp_replace(trim({e}), '^\"([^\"]*)\"$', '\\1')"
+        e = f"regexp_replace(regexp_replace({e}, '^\\s+|\\s+$', '', 'g'), '(?s)^(.+?)((\\[[^\\]]*\\]|\\[\\d+\\]|[•♦†‡*#+])*)$', '\\1')"
+        e = f"regexp_replace(regexp_replace({e}, '^\\s+|\\s+$', '', 'g'), '(?s)^(.+?)(( \\([^)]*\\))*)$', '\\1')"
+        e = f"regexp_replace(regexp_replace({e}, '^\\s+|\\s+$', '', 'g'), '^\"([^\"]*)\"$', '\\1')"
     e = f"regexp_replace({e}, '\\.$', '')"
-    return f"trim(lower(regexp_replace({e}, '\\s+', ' ', 'g')))"
+    return f"regexp_replace(lower(regexp_replace({e}, '\\s+', ' ', 'g')), '^\\s+|\\s+$', '', 'g')"
 
 
 def sql_value_printed(x: str) -> str:
@@ -62,7 +62,7 @@ def sql_normalize_answer(a: str) -> str:
     br = f"(starts_with({s}, '[') AND ends_with({s}, ']'))"
     parsed = f"TRY_CAST(TRY_CAST(replace({s}, '''', '\"') AS JSON) AS VARCHAR[])"
     text = f"(CASE WHEN {br} THEN regexp_replace(regexp_replace({s}, '^\\[', ''), '\\]$', '') ELSE {s} END)"
-    split = f"list_transform(string_split(replace(lower({text}), ' and ', ', '), ', '), lambda p: trim(p))"
+    split = f"list_transform(string_split(replace(lower({text}), ' and ', ', '), ', '), lambda p: regexp_replace(p, '^\\s+|\\s+$', '', 'g'))"
     items = (f"(CASE WHEN {br} AND {parsed} IS NOT NULL THEN list_transform({parsed}, lambda q: lower(q)) "
              f"ELSE {split} END)")
     return (f"array_to_string(list_sort(list_distinct(list_transform({items}, lambda x: {sql_value_printed('x')}))), "
