@@ -209,3 +209,22 @@ def stringified_cells(tables: Mapping[str, DataFrame], id_col: str = "row_id") -
         c = to_cells(s, tid, id_col)
         out = c if out is None else out.unionByName(c)
     return out
+
+
+def write_cells(tables: Mapping[str, DataFrame], name: str = "cells", chunk: int = 32,
+                id_col: str = "row_id") -> DataFrame:
+    """C0 for a corpus of hundreds of tables.
+
+    Tables are unioned ``chunk`` at a time and each chunk is written to the
+    shared folder partitioned by ``table_id``; the result is one scan of all
+    chunks.  Plans stay small however many tables there are, and a lookup
+    of one table prunes to its partition folder."""
+    from ..sources.store import materialize
+    items = list(tables.items())
+    parts = []
+    for s in range(0, len(items), chunk):
+        parts.append(materialize(cells_of(dict(items[s:s + chunk]), id_col), name, partition_by=["table_id"]))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

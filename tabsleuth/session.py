@@ -15,6 +15,8 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # Shuffle partitions are coalesced towards this size after each stage.
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(64 * 1024 * 1024),
     # Broadcast only sides whose size the planner has measured below this.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
 }
