@@ -42,12 +42,18 @@ def build_index(docs: DataFrame, analyzer: str = "word", corpus_col: str = "corp
     the reference).  ``tf`` feeds the vocabulary, the totals and the
     postings through one reused shuffle.
     """
+    from ..sources.store import materialize, spread
     ids = docs.select(F.col(corpus_col).alias("corpus_id"), F.col(doc_col).alias("doc_ord"))
-    toks = docs.select(F.col(corpus_col).alias("corpus_id"), F.col(doc_col).alias("doc_ord"),
-                       tokenize(F.col(text_col), analyzer).alias("toks"))
-    tf = (toks.select("corpus_id", "doc_ord", F.size("toks").alias("dl"), F.explode("toks").alias("token"))
-          .groupBy("corpus_id", "doc_ord", "token")
-          .agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl")))
+    toks = spread(docs).select(F.col(corpus_col).alias("corpus_id"), F.col(doc_col).alias("doc_ord"),
+                               tokenize(F.col(text_col), analyzer).alias("toks"))
+    # explode_outer: plain explode makes the optimizer push a second copy of
+    # the tokenizer into the scan as a filter.  tf is the index's core table:
+    # it is written once and read by the totals, the vocabulary and the postings.
+    tf = materialize(
+        toks.select("corpus_id", "doc_ord", F.size("toks").alias("dl"), F.explode_outer("toks").alias("token"))
+        .where(F.col("token").isNotNull())
+        .groupBy("corpus_id", "doc_ord", "token")
+        .agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl")), "tf")
     n_docs = ids.groupBy("corpus_id").agg(F.count(F.lit(1)).alias("n_docs"))
     total = tf.groupBy("corpus_id").agg(F.sum("tf").alias("_tokens"))
     stats = (n_docs.join(total, "corpus_id", "left")

@@ -113,7 +113,8 @@ def text_normalize(spark, sf_dir):
                                                    F.col("text").alias("t"))
     p = X.load(spark, sf_dir, "pages").select(F.lit("pages").alias("src"), F.col("page_id").alias("key"),
                                               F.col("html").alias("t"))
-    return d.unionByName(p).select("src", "key", A.normalize(F.col("t")).alias("normalized"))
+    from ..sources.store import spread
+    return spread(d.unionByName(p)).select("src", "key", A.normalize(F.col("t")).alias("normalized"))
 
 
 @register("finance_format",

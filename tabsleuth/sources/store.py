@@ -28,3 +28,19 @@ def materialize(df: DataFrame, name: str, partition_by: Sequence[str] | None = N
         w = w.partitionBy(*partition_by)
     w.parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a small input over the cluster before per-row heavy work
+    (tokenizing, normalising, embedding).
+
+    A table stored as fewer files than the default parallelism (often one
+    file with one row group) is read by a single task; such inputs are
+    repartitioned.  Large inputs -- more files than cores -- are left
+    alone, so no raw text is shuffled at scale."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    try:
+        n_files = len(df.inputFiles())
+    except Exception:  # noqa: BLE001 - not a file-based plan
+        return df
+    return df.repartition(par) if 0 < n_files < par else df
