@@ -66,25 +66,52 @@ def pin_queries(queries: DataFrame, candidates: DataFrame, keys: Sequence[str],
 
 def retrieve(queries: DataFrame, candidates: DataFrame, docs: DataFrame, keys: Sequence[str],
              k: int = 5, analyzer: str = "word", data_types: Sequence[str] = ("schema", "cell"),
-             index: dict | None = None, pad: bool = False) -> DataFrame:
-    """Top-k documents per (question, query, candidate table, kind).
-
-    Returns keys..., query_pos, table_id, data_type, rank, doc_ord, score,
-    page_content, result_text.
+             index: dict | None = None, pad: bool = False, mode: str = "bm25",
+             embed_fn=None, dim: int = 256, weights: Sequence[float] = (0.5, 0.5)) -> DataFrame:
+    """Top-k documents per (question, query, candidate table, kind).
+
+    ``mode`` is ``bm25``, ``embed`` (exact L2 over ``embed_fn`` vectors) or
+    ``hybrid`` (weighted reciprocal-rank fusion of embed and bm25, in that
+    order, returning the fused union).  Returns keys..., query_pos,
+    table_id, data_type, rank, doc_ord, score, page_content, result_text.
     """
-    index = index or bm25.build_index(docs, analyzer)
     pinned = pin_queries(queries, candidates, keys, data_types)
     qkeys = [*keys, "query_pos", "table_id", "kind"]
-    sc = bm25.score(pinned, index, qkeys, analyzer=analyzer)
-    if pad:
-        top = bm25.top_k_padded(sc, pinned, index, qkeys, k)
+    lists = []
+    if mode in ("embed", "hybrid"):
+        lists.append(_dense_lists(pinned, docs, qkeys, k, embed_fn, dim))
+    if mode in ("bm25", "hybrid"):
+        index = index or bm25.build_index(docs, analyzer)
+        sc = bm25.score(pinned, index, qkeys, analyzer=analyzer)
+        if pad:
+            top = bm25.top_k_padded(sc, pinned, index, qkeys, k)
+        else:
+            top = bm25.top_k(sc, [*qkeys, "corpus_id"], k)
+        lists.append(top)
+    if not lists:
+        raise ValueError(f"unknown retrieval mode {mode!r}")
+    if mode == "hybrid":
+        from .fusion import rrf
+        top = rrf(lists, [*qkeys, "corpus_id"], "doc_ord", list(weights)).withColumnRenamed("rrf", "score")
     else:
-        top = bm25.top_k(sc, [*qkeys, "corpus_id"], k)
+        top = lists[0]
     return (top.join(docs.select("corpus_id", "doc_ord", "page_content", "result_text"),
                      ["corpus_id", "doc_ord"])
             .withColumnRenamed("kind", "data_type").drop("corpus_id"))
 
 
+def _dense_lists(pinned: DataFrame, docs: DataFrame, qkeys: Sequence[str], k: int, embed_fn, dim: int) -> DataFrame:
+    """R5 R6 for pinned queries: every query against its own corpus."""
+    from . import dense
+    q = pinned.withColumn("_qid", F.to_json(F.struct(*qkeys)))
+    qv = dense.embed(q.select("_qid", "corpus_id", "query").distinct(), "query", embed_fn, dim)
+    dv = dense.embed(docs.select("corpus_id", "doc_ord", "page_content"), "page_content", embed_fn, dim)
+    top = dense.dense_top_k(qv.select("_qid", "corpus_id", "vec"), dv.select("doc_ord", "corpus_id", "vec"),
+                            k, "_qid", "doc_ord")
+    back = q.select("_qid", *qkeys).distinct()
+    return top.join(back, "_qid").select(*qkeys, "corpus_id", "doc_ord", F.col("dist").alias("score"), "rank")
+
+
 def union_ordered(hits: DataFrame, keys: Sequence[str], doc: str = "result_text") -> DataFrame:
     """Results of all queries in query order, first occurrence kept.
 
