@@ -118,7 +118,7 @@ def candidate_jsonl(spark, sf_dir):
 
 
 @register("all_tables_cross",
-          "SELECT n_nationkey, CAST(r_regionkey + 1 AS BIGINT) AS rank, r_name AS table_id FROM nation, region")
+          "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, CAST(r_regionkey + 1 AS BIGINT) AS rank, r_name AS table_id FROM nation, region")
 def all_tables_cross(spark, sf_dir):
     """Every nation question against every region 'table' (checked, bounded catalog)."""
     n = X.load(spark, sf_dir, "nation").select("n_nationkey")

@@ -268,12 +268,12 @@ def selection_records(spark, sf_dir):
 s AS (SELECT count(*) AS total, count_if(sg) AS gold, count_if(NOT sg) AS wrong, count_if(ok) AS correct,
   count_if(NOT ok) AS incorrect, count_if(sg AND ok) AS gc, count_if(sg AND NOT ok) AS gw,
   count_if(NOT sg AND ok) AS wc, count_if(NOT sg AND NOT ok) AS ww FROM rec WHERE sg IS NOT NULL)
-SELECT metric, n, d, round(n / nullif(d, 0), 6) AS rate FROM (
+SELECT metric, CAST(n AS BIGINT) AS n, CAST(d AS BIGINT) AS d, round(n / nullif(d, 0), 6) AS rate FROM (
   SELECT 'selected_gold' AS metric, gold AS n, total AS d FROM s UNION ALL SELECT 'selected_wrong', wrong, total FROM s
   UNION ALL SELECT 'answer_correct', correct, total FROM s UNION ALL SELECT 'answer_wrong', incorrect, total FROM s
   UNION ALL SELECT 'correct_given_gold', gc, gold FROM s UNION ALL SELECT 'wrong_given_gold', gw, gold FROM s
   UNION ALL SELECT 'correct_given_wrong', wc, wrong FROM s UNION ALL SELECT 'wrong_given_wrong', ww, wrong FROM s)
-UNION ALL SELECT 'skipped', count(*), count(*), NULL FROM rec WHERE sg IS NULL""")
+UNION ALL SELECT 'skipped', CAST(count(*) AS BIGINT), CAST(count(*) AS BIGINT), NULL FROM rec WHERE sg IS NULL""")
 def selection_breakdown(spark, sf_dir):
     """A9 SC9 SC23 F13: table selection vs answer correctness."""
     b = E.selection_breakdown(selection_records(spark, sf_dir))
@@ -281,17 +281,18 @@ def selection_breakdown(spark, sf_dir):
 
 
 @register("token_rollup",
-          "SELECT sum(coalesce(input_token_count, 0)) AS input_tokens, sum(coalesce(output_token_count, 0)) "
-          "AS output_tokens, sum(coalesce(total_token_count, coalesce(input_token_count, 0) + "
-          f"coalesce(output_token_count, 0))) AS total_tokens, count(*) AS n_records FROM {R}")
+          "SELECT CAST(sum(coalesce(input_token_count, 0)) AS BIGINT) AS input_tokens, "
+          "CAST(sum(coalesce(output_token_count, 0)) AS BIGINT) AS output_tokens, "
+          "CAST(sum(coalesce(total_token_count, coalesce(input_token_count, 0) + coalesce(output_token_count, 0))) "
+          f"AS BIGINT) AS total_tokens, count(*) AS n_records FROM {R}")
 def token_rollup(spark, sf_dir):
     """Token totals over all result records."""
     return E.token_rollup(X.results(spark, sf_dir))
 
 
 @register("call_usage",
-          "SELECT id, sum(coalesce(nullif(CASE WHEN event_id % 3 = 0 THEN 0 ELSE total_token_count END, 0), "
-          "input_token_count + output_token_count)) AS tokens, count(*) AS n_calls "
+          "SELECT id, CAST(sum(coalesce(nullif(CASE WHEN event_id % 3 = 0 THEN 0 ELSE total_token_count END, 0), "
+          "input_token_count + output_token_count)) AS BIGINT) AS tokens, count(*) AS n_calls "
           f"FROM {R} GROUP BY id")
 def call_usage(spark, sf_dir):
     """API usage when reported, else the estimate, summed per question."""
