@@ -44,9 +44,15 @@ def question_ngrams(questions: DataFrame, keys: Sequence[str], text_col: str = "
 def builtin_cell_queries(questions: DataFrame, cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     """L1 (cells) F4 F5: n-grams equal to a categorical cell value
     (case-insensitive); numbers removed; first occurrence kept, in question order."""
-    values = (cells.where(~F.col("is_numeric") & F.col("value").isNotNull())
-              .select(F.lower(F.trim("value")).alias("term")).distinct())
-    hits = question_ngrams(questions, keys).join(values, "term", "left_semi")
+    grams = question_ngrams(questions, keys)
+    terms = grams.select("term").distinct()
+    # Cells are joined to the (small) set of question terms -- AQE broadcasts
+    # it when measured small -- and only matching values are de-duplicated,
+    # so the corpus' distinct values are never shuffled as a whole.
+    matched = (cells.where(~F.col("is_numeric") & F.col("value").isNotNull())
+               .select(F.lower(F.trim("value")).alias("term"))
+               .join(terms, "term").distinct())
+    hits = grams.join(matched, "term", "left_semi")
     hits = hits.where(~is_numeric_text(F.col("term")) & (F.trim("term") != ""))
     return (hits.groupBy(*keys, "term").agg(F.min(F.struct("pos", "n")).alias("_f"))
             .select(*keys, F.lit("cell").alias("kind"), F.col("term").alias("query"),
