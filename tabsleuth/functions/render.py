@@ -58,8 +58,13 @@ def render_double(c: Column) -> Column:
     txt = F.coalesce(F.regexp_replace(
         F.regexp_replace(c.try_cast("decimal(38,10)").cast("string"), "0+$", ""),
         r"\.$", ".0"), c.cast("string"))
+    # In [1e-3, 1e7) Spark's own cast already prints the shortest decimal
+    # form (checked against the decimal path and Python's repr); it is the
+    # cheap path for the bulk of values.
+    plain = (F.abs(c) >= 1e-3) & (F.abs(c) < 1e7)
     return (F.when(c.isNull(), F.lit(None))
             .when(F.isnan(c), F.lit("nan"))
+            .when(plain, c.cast("string"))
             .otherwise(txt))
 
 

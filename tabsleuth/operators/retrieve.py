@@ -128,8 +128,19 @@ def union_set(hits: DataFrame, keys: Sequence[str], doc: str = "result_text") ->
     return hits.select(*keys, doc).distinct()
 
 
+def schema_frame(spark, tables: dict[str, DataFrame], id_col: str = "row_id") -> DataFrame:
+    """(table_id, col_id, column_name) from the tables' schemas: metadata
+    only, no scan of the data."""
+    rows = [(tid, i, c) for tid, df in tables.items()
+            for i, c in enumerate([c for c in df.columns if c != id_col])]
+    return spark.createDataFrame(rows, "table_id string, col_id long, column_name string")
+
+
 def table_title_docs(cells: DataFrame, titles: DataFrame | None = None) -> DataFrame:
-    """One document per table, title followed by its column names."""
+    """One document per table, title followed by its column names.
+
+    ``cells`` may be the long cell form or, cheaper, a schema frame
+    (table_id, col_id, column_name)."""
     cols = (cells.select("table_id", "col_id", "column_name").distinct()
             .groupBy("table_id")
             .agg(F.sort_array(F.collect_list(F.struct("col_id", "column_name"))).alias("_c")))
