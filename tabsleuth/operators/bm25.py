@@ -56,17 +56,20 @@ def build_index(docs: DataFrame, analyzer: str = "word", corpus_col: str = "corp
         .agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl")), "tf")
     n_docs = ids.groupBy("corpus_id").agg(F.count(F.lit(1)).alias("n_docs"))
     total = tf.groupBy("corpus_id").agg(F.sum("tf").alias("_tokens"))
-    stats = (n_docs.join(total, "corpus_id", "left")
+    # stats / avg_idf / tail hold one row per corpus (bounded by the number of
+    # corpora, not by rows): they are broadcast.  With a single corpus the key
+    # folds to a constant and the join is a loop over that one row.
+    stats = (n_docs.join(F.broadcast(total), "corpus_id", "left")
              .select("corpus_id", "n_docs", (F.coalesce("_tokens", F.lit(0)) / F.col("n_docs")).alias("avgdl")))
     dfreq = tf.groupBy("corpus_id", "token").agg(F.count(F.lit(1)).alias("df"))
-    raw = (dfreq.join(stats.select("corpus_id", "n_docs"), "corpus_id")
+    raw = (dfreq.join(F.broadcast(stats.select("corpus_id", "n_docs")), "corpus_id")
            .withColumn("idf_raw", F.ln(F.col("n_docs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)))
     avg_idf = raw.groupBy("corpus_id").agg(F.avg("idf_raw").alias("avg_idf"))
-    idf = (raw.join(avg_idf, "corpus_id")
+    idf = (raw.join(F.broadcast(avg_idf), "corpus_id")
            .select("corpus_id", "token", "df",
                    F.when(F.col("idf_raw") < 0, EPSILON * F.col("avg_idf"))
                    .otherwise(F.col("idf_raw")).alias("idf")))
-    postings = (tf.join(stats.select("corpus_id", "avgdl"), "corpus_id")
+    postings = (tf.join(F.broadcast(stats.select("corpus_id", "avgdl")), "corpus_id")
                 .join(idf.select("corpus_id", "token", "idf"), ["corpus_id", "token"])
                 .select("corpus_id", "token", "doc_ord", "tf",
                         (F.col("dl") / F.col("avgdl")).alias("norm"), "idf"))
@@ -123,11 +126,13 @@ def top_k_padded(scores: DataFrame, queries: DataFrame, index: dict[str, DataFra
     """
     keys = [c for c in keys if c != "corpus_id"]
     w_last = Window.partitionBy("corpus_id").orderBy(F.desc("doc_ord"))
+    # one row per corpus holding its last 2k document ids (bounded array)
     tail = (index["docs"].select("corpus_id", "doc_ord")
             .withColumn("_r", F.row_number().over(w_last)).where(F.col("_r") <= 2 * k)
-            .drop("_r"))
+            .groupBy("corpus_id").agg(F.collect_list("doc_ord").alias("_tail")))
     qk = queries.select(*keys, "corpus_id").distinct()
-    pad = qk.join(tail, "corpus_id").withColumn("score", F.lit(0.0))
+    pad = (qk.join(F.broadcast(tail), "corpus_id")
+           .select(*keys, "corpus_id", F.explode("_tail").alias("doc_ord"), F.lit(0.0).alias("score")))
     allc = (scores.unionByName(pad)
             .groupBy(*keys, "corpus_id", "doc_ord").agg(F.max("score").alias("score")))
     return top_k(allc, [*keys, "corpus_id"], k)

@@ -95,12 +95,16 @@ def describe(df: DataFrame, cols: Sequence[str], group: Sequence[str] = ()) -> D
         aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
                  F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"),
                  F.max(x).alias(f"{c}__max")]
-    key = g or ["_one"]
-    wide = (df.groupBy(*g).agg(*aggs) if g else df.agg(*aggs).withColumn("_one", F.lit(0)))
+    wide = df.groupBy(*g).agg(*aggs) if g else df.agg(*aggs)
     for c in cols:
         q = quartiles(df, c, g).select(*g, *[F.col(f"q{p}").alias(f"{c}__q{p}") for p in (25, 50, 75)])
-        q = q if g else q.withColumn("_one", F.lit(0))
-        wide = wide.join(q, key, "left")
+        if g:
+            wide = wide.join(q, g, "left")
+        else:
+            # one global row: its three quartiles are scalars, added as literals
+            row = q.first()
+            wide = wide.select("*", *[F.lit(None if row is None else row[f"{c}__q{p}"]).cast("double")
+                                      .alias(f"{c}__q{p}") for p in (25, 50, 75)])
     stacks = []
     for st in DESCRIBE:
         row = []

@@ -240,10 +240,10 @@ def run_summary(spark, sf_dir):
     acc = (E.accuracy(per_id).select(F.lit("events").alias("data"), "accuracy")
            .unionByName(split.groupBy(F.concat(F.lit("events-"), F.col("size_class")).alias("data"))
                         .agg(F.avg(F.col("correct").cast("int")).alias("accuracy"))))
-    m = means.withColumn("_one", F.lit(1))
-    return (acc.withColumn("_one", F.lit(1)).join(m, "_one")
-            .select("data", *[F.round(c, 6).alias(c) for c in ("n_iter", "init_prompt_token_count",
-                                                                "total_token_count", "accuracy")]))
+    mrow = means.first()  # one row of three means: scalars
+    return acc.select("data", *[F.round(F.lit(mrow[c]).cast("double"), 6).alias(c)
+                                for c in ("n_iter", "init_prompt_token_count", "total_token_count")],
+                      F.round("accuracy", 6).alias("accuracy"))
 
 
 # --- selection, usage ---------------------------------------------------------------
