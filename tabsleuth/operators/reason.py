@@ -44,14 +44,17 @@ def run(state: DataFrame, model_fn: Callable, act_fn: Callable[[DataFrame], Data
             break
         req = open_.select("id", "sc_id", "round", F.concat("prompt", "transcript").alias("text"))
         replies = req.mapInPandas(model_fn, "id string, sc_id long, round long, reply string")
-        parsed = replies.withColumn("p", P.parse_final(F.col("reply"))).withColumn(
-            "code", P.parse_action(F.col("reply")))
-        terminal = P.is_terminal(F.col("reply"), F.col("p.ok"))
-        obs = act_fn(parsed.where(~terminal).select("id", "sc_id", "code"))
+        # replies are parsed once and written with the round (model calls
+        # are not repeated on a retry); later steps read plain columns
+        parsed = (replies.withColumn("p", P.parse_final(F.col("reply")))
+                  .select("id", "sc_id", "reply", P.parse_action(F.col("reply")).alias("code"),
+                          P.is_terminal(F.col("reply"), F.col("p.ok")).alias("term"),
+                          F.when(F.col("p.ok"), format_answer(F.col("p.answer"), F.col("p.answer_raw"))).alias("ans"),
+                          F.col("p.table_source").alias("src")))
+        parsed = materialize(parsed, "react-replies")
+        obs = act_fn(parsed.where(~F.col("term")).select("id", "sc_id", "code"))
         step = (parsed.join(obs, ["id", "sc_id"], "left")
-                .select("id", "sc_id", "reply", terminal.alias("term"),
-                        F.when(F.col("p.ok"), format_answer(F.col("p.answer"), F.col("p.answer_raw"))).alias("ans"),
-                        F.col("p.table_source").alias("src"),
+                .select("id", "sc_id", "reply", "term", "ans", "src",
                         P.observation_text(F.col("code"), F.coalesce("observation", F.lit(""))).alias("obs")))
         advanced = (open_.join(step, ["id", "sc_id"])
                     .select("id", "sc_id", "prompt",
