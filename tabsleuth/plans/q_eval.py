@@ -227,7 +227,9 @@ s AS (SELECT 'databench-' || CAST(o_custkey AS VARCHAR) AS id, count(*) * 6 AS t
 m AS (SELECT avg(n_iter) AS n_iter, avg(init_prompt_token_count) AS init_prompt_token_count,
              avg(total_token_count) AS total_token_count FROM r)
 SELECT d.data, round(m.n_iter, 6) AS n_iter, round(m.init_prompt_token_count, 6) AS init_prompt_token_count,
-       round(m.total_token_count, 6) AS total_token_count, round(d.accuracy, 6) AS accuracy FROM m, (
+       round(m.total_token_count, 6) AS total_token_count, round(d.accuracy, 6) AS accuracy,
+       'builtin' AS model_name, 'hashed' AS embed_model_name, 'databench' AS task, 'multi' AS agent_type,
+       CAST(5 AS BIGINT) AS top_k, CAST(1 AS BIGINT) AS sc, CAST(1000 AS BIGINT) AS max_encode_cell FROM m, (
   SELECT 'events' AS data, avg(correct) AS accuracy FROM v
   UNION ALL SELECT 'events-small', avg(correct) FROM v JOIN s USING (id) WHERE total_cell < 60
   UNION ALL SELECT 'events-large', avg(correct) FROM v JOIN s USING (id) WHERE total_cell >= 60) d""")
@@ -243,7 +245,13 @@ def run_summary(spark, sf_dir):
     mrow = means.first()  # one row of three means: scalars
     return acc.select("data", *[F.round(F.lit(mrow[c]).cast("double"), 6).alias(c)
                                 for c in ("n_iter", "init_prompt_token_count", "total_token_count")],
-                      F.round("accuracy", 6).alias("accuracy"))
+                      F.round("accuracy", 6).alias("accuracy"),
+                      *[F.lit(v).alias(k) for k, v in RUN_CONFIG.items()])
+
+
+# The run configuration recorded next to the summary (K5).
+RUN_CONFIG = {"model_name": "builtin", "embed_model_name": "hashed", "task": "databench", "agent_type": "multi",
+              "top_k": 5, "sc": 1, "max_encode_cell": 1000}
 
 
 # --- selection, usage ---------------------------------------------------------------
