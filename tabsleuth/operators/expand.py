@@ -102,14 +102,24 @@ def cached(requests: DataFrame, cache: DataFrame | None, compute: Callable[[Data
 
     requests(keys..., kind, key); cache(key, queries array<string>);
     compute(misses) -> (keys..., kind, queries array<string>)."""
+    from ..functions.text import token_count
+    usage_cols = [F.lit(None).cast("long").alias("usage_in"), F.lit(None).cast("long").alias("usage_out")]
     if cache is None:
-        hit = requests.withColumn("queries", F.lit(None).cast("array<string>"))
+        hit = requests.select("*", F.lit(None).cast("array<string>").alias("queries"), *usage_cols)
     else:
-        hit = requests.join(cache.select("key", "queries"), "key", "left")
+        c = cache if "usage_in" in cache.columns else cache.select("*", *usage_cols)
+        hit = requests.join(c.select("key", "queries", "usage_in", "usage_out"), "key", "left")
+    # A cache hit replays the usage of the call that produced the entry
     found = hit.where(F.col("queries").isNotNull()).withColumn("from_cache", F.lit(True))
-    miss = hit.where(F.col("queries").isNull()).drop("queries")
+    miss = hit.where(F.col("queries").isNull()).drop("queries", "usage_in", "usage_out")
     fresh = compute(miss.select(*keys, "kind")).join(miss, [*keys, "kind"], "right")
     fresh = fresh.withColumn("queries", F.coalesce("queries", F.array().cast("array<string>"))) \
         .withColumn("from_cache", F.lit(False))
-    new_entries = fresh.where(F.size("queries") > 0).select("key", "queries").dropDuplicates(["key"])
+    if "usage_in" not in fresh.columns:
+        # estimated usage of a fresh call: prompt in (when given), answer list out
+        src = F.col("prompt") if "prompt" in fresh.columns else F.col("key")
+        fresh = fresh.withColumn("usage_in", token_count(src).cast("long")) \
+            .withColumn("usage_out", token_count(F.array_join("queries", ", ")).cast("long"))
+    new_entries = (fresh.where(F.size("queries") > 0).select("key", "queries", "usage_in", "usage_out")
+                   .dropDuplicates(["key"]))
     return found.unionByName(fresh.select(*found.columns)), new_entries

@@ -87,9 +87,9 @@ def expansion_cache(spark, sf_dir):
         for kind, tmpl, rm in (("column", EV.COLUMN_TEMPLATE, False), ("cell", EV.CELL_TEMPLATE, True)):
             if kind not in kinds:
                 continue
-            r = q.select("question_id", F.lit(kind).alias("kind"),
-                         XP.request_key(kind, fill_template(F.lit(tmpl), {"query": F.col("question")}), rm)
-                         .alias("key"))
+            prompt = fill_template(F.lit(tmpl), {"query": F.col("question")})
+            r = q.select("question_id", F.lit(kind).alias("kind"), XP.request_key(kind, prompt, rm).alias("key"),
+                         prompt.alias("prompt"))
             out = r if out is None else out.unionByName(r)
         return out
 
