@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship_package
+
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
@@ -28,6 +30,7 @@ def finalize(df: DataFrame) -> DataFrame:
 def register(name: str, sql: str | None = None):
     def deco(fn):
         def run(spark, sf_dir):
+            ship_package(spark)
             return finalize(fn(spark, sf_dir))
         run.__name__ = fn.__name__
         run.__doc__ = fn.__doc__
