@@ -5,12 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.store import materialize  # noqa: F401  (re-exported: written lineage cuts)
+from ..sources import store
 
 #: Rows whose crc32(doc_id as text) mod 4 equals this are never learned from.
 HELD_OUT = 2
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage with a written table in the shared folder; the shuffle files
+    behind it are not needed any more and go with the write."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEAN, "false")
+    conf.set(_CLEAN, "true")
+    try:
+        return store.materialize(df, name)
+    finally:
+        conf.set(_CLEAN, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

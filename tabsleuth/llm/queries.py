@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
-from . import q_mixing, q_packing
+from . import (q_imatch, q_langid, q_lines, q_mixing, q_neardup, q_packing, q_substrings, q_topk, q_toxicity, q_warc)
 
 QUERIES = {
+    "op1_line_dedup": q_lines.query,
+    "op2_toxicity": q_toxicity.query,
     "op3_mixing": q_mixing.query,
+    "op4_language_id": q_langid.query,
+    "op5_substring_dedup": q_substrings.query,
+    "op6_exact_topk": q_topk.query,
+    "op7_fingerprints": q_imatch.query,
+    "op8_warc": q_warc.query,
     "op9_packing": q_packing.query,
+    "op10_near_dedup": q_neardup.query,
 }
 
 ORACLES = {
+    "op1_line_dedup": q_lines.SQL,
     "op3_mixing": q_mixing.SQL,
+    "op6_exact_topk": q_topk.SQL,
+    "op8_warc": q_warc.SQL,
 }
