@@ -32,10 +32,10 @@ END_ID = 0
 GROUP_ROWS = 2000
 #: Exchanges stop here at the latest; what is packed by then stands.
 MAX_ROUNDS = 6
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_ODD_SPACE = re.compile(r"\s | \s|^ | $")
+_OTHER_SPACE = re.compile(r"[^\S \n]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -49,31 +49,61 @@ class WordIds:
 
     The byte-level pre-tokeniser always cuts before a single space between
     two other characters, so the text can be cut there too and each part's
-    ids be looked up; the tokeniser sees only parts that are not yet known.
+    ids be looked up.  Only parts that are not yet known are tokenised, many
+    at a time: in a row of parts that each begin with their only space, a
+    token that begins with a space begins a part.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.after: dict[str, bytes] = {}       # parts that follow a space, without it
+        self.first: dict[str, bytes] = {}       # parts that begin a text
+        vocab = self.tok.get_vocab()
+        self.begins = np.zeros(max(vocab.values()) + 1, bool)
+        self.begins[[i for token, i in vocab.items() if token.startswith("\u0120")]] = True    # the space's byte symbol
 
     @staticmethod
     def parts(text: str) -> list[str]:
-        p = _CUT.split(text) if _ODD_SPACE.search(text) else text.split(" ")
-        return [p[0], *[" " + x for x in p[1:]]]
+        plain = not ("  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " " or _OTHER_SPACE.search(text))
+        return text.split(" ") if plain else _CUT.split(text)
+
+    def _one(self, part: str) -> bytes:
+        return np.asarray(self.tok.encode(part, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _learn(self, new: list[str]) -> None:
+        odd = [w for w in new if " " in w]
+        for w in odd:
+            self.after[w] = self._one(" " + w)
+        some = [w for w in new if " " not in w] if odd else new
+        rows = [some[i:i + 500] for i in range(0, len(some), 500)]
+        for row, e in zip(rows, self.tok.encode_batch_fast(["".join([" " + w for w in row]) for row in rows], add_special_tokens=False)):
+            ids = np.asarray(e.ids, dtype="<u4")
+            at = np.flatnonzero(self.begins[ids])
+            if len(at) != len(row) or at[0]:
+                self.after.update((w, self._one(" " + w)) for w in row)
+                continue
+            raw, at = ids.tobytes(), (4 * np.append(at, len(ids))).tolist()
+            for i, w in enumerate(row):
+                self.after[w] = raw[at[i]:at[i + 1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.parts(t) if t else [] for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        known = self.known
-        new = list({w for p in cut for w in p if w not in known})
-        for i in range(0, len(new), 50_000):
-            some = new[i:i + 50_000]
-            for w, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False)):
-                known[w] = np.asarray(e.ids, dtype="<u4").tobytes()
-        return [b"".join([known[w] for w in p]) for p in cut]
+        if len(self.after) > CACHE_WORDS:
+            self.after = {}
+        if len(self.first) > CACHE_WORDS:
+            self.first = {}
+        after, first, seen = self.after, self.first, set()
+        for p in cut:
+            seen.update(p[1:])
+            if p and p[0] not in first:
+                first[p[0]] = self._one(p[0])
+        new = [w for w in seen if w not in after]
+        if new:
+            self._learn(new)
+        known = after.__getitem__
+        return [first[p[0]] + b"".join(map(known, p[1:])) if p else b"" for p in cut]
 
 
 _ENCODERS: dict[str, WordIds] = {}
