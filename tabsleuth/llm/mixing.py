@@ -120,11 +120,11 @@ def sample(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, the last perhaps in part;
     all columns are kept."""
     taken = mix(docs, **options).where("epochs > 0 or part_words > 0")
-    taken = taken.groupBy("key", F.col("source").alias("__source")).agg(
+    taken = taken.groupBy(F.col("key").alias("__taken"), F.col("source").alias("__source")).agg(
         F.max("epochs").alias("__epochs"), F.max("part_words").alias("__part"), F.max("size").alias("__size"))
     cols = docs.columns
     out = docs.withColumn("__key", doc_key())
-    out = out.join(taken, (F.col("__key") == F.col("key")) & F.col("source").cast("string").eqNullSafe(F.col("__source")))
+    out = out.join(taken, (F.col("__key") == F.col("__taken")) & F.col("source").cast("string").eqNullSafe(F.col("__source")))
     copies = F.col("__epochs") + F.when(F.col("__part") > 0, 1).otherwise(0)
     out = out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
     cut = (F.col("__copy") > F.col("__epochs")) & (F.col("__part") < F.col("__size"))
