@@ -43,17 +43,22 @@ def final_candidate(text: Column) -> Column:
 
 
 def literal_to_json(c: Column) -> Column:
-    """Python-literal fallback: single quotes and True / False / None."""
-    x = F.regexp_replace(c, "'", '"')
-    x = F.regexp_replace(x, r"\bTrue\b", "true")
+    """True / False / None of a Python literal as their JSON words."""
+    x = F.regexp_replace(c, r"\bTrue\b", "true")
     x = F.regexp_replace(x, r"\bFalse\b", "false")
     return F.regexp_replace(x, r"\bNone\b", "null")
 
 
+def _parse_literal(c: Column) -> Column:
+    """JSON whose strings may be in single quotes, as VARIANT; null if it is not."""
+    return F.from_json(c, "variant", {"allowSingleQuotes": "true", "mode": "PERMISSIVE"})
+
+
 def parse_final(text: Column) -> Column:
     """SC11: struct(ok, table_source, answer VARIANT, candidate)."""
     cand = final_candidate(text)
-    v = F.coalesce(F.try_parse_json(cand), F.try_parse_json(literal_to_json(cand)))
+    braced = F.when(cand.rlike(r"(?s)^\{.*\}$"), cand)
+    v = F.coalesce(F.try_parse_json(cand), _parse_literal(braced), _parse_literal(literal_to_json(braced)))
     is_obj = F.schema_of_variant(v).startswith("OBJECT")
     src = F.try_variant_get(v, "$.table_source", "variant")
     ans = F.try_variant_get(v, "$.answer", "variant")
@@ -114,18 +119,24 @@ def observation_text(code: Column, output: Column, n_rows: Column | None = None)
 
 
 def fill_template(template: Column, values: Mapping[str, Column]) -> Column:
-    """SC20: ``str.format`` with named fields; ``{{`` / ``}}`` are literal braces."""
+    """SC20: ``str.format`` with named fields; ``{{`` / ``}}`` are literal braces.
+
+    The template is cut at its fields before any value is put in, so braces in
+    a value are never read as fields."""
     x = F.regexp_replace(F.regexp_replace(template, r"\{\{", "\u0001"), r"\}\}", "\u0002")
-    for k, v in values.items():
-        x = F.replace(x, F.lit("{" + k + "}"), F.coalesce(v.cast("string"), F.lit("None")))
-    return F.replace(F.replace(x, F.lit("\u0001"), F.lit("{")), F.lit("\u0002"), F.lit("}"))
+    for i, k in enumerate(values):
+        x = F.replace(x, F.lit("{" + k + "}"), F.lit(f"\u0003{i}\u0004"))
+    x = F.replace(F.replace(x, F.lit("\u0001"), F.lit("{")), F.lit("\u0002"), F.lit("}"))
+    parts = F.split(x, "\u0003")
+    filled = F.array(*[F.coalesce(v.cast("string"), F.lit("None")) for v in values.values()]) if values else None
+    if filled is None:
+        return x
+    rest = F.transform(F.slice(parts, 2, F.size(parts)), lambda p: F.concat(
+        F.element_at(filled, F.substring_index(p, "\u0004", 1).cast("int") + 1), F.substring_index(p, "\u0004", -1)))
+    return F.concat(parts[0], F.array_join(rest, ""))
 
 
 def drop_evidence(prompt: Column, evidence: Column, placeholder: str = "[evidence omitted]") -> Column:
     """Replace the evidence block after the first round."""
     return F.replace(prompt, evidence, F.lit(placeholder))
 
-
-def identity_hash(*cols: Column) -> Column:
-    """SC22: sha-256 of a canonical JSON of the identity fields."""
-    return F.sha2(F.to_json(F.struct(*cols)), 256)

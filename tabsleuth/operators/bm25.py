@@ -115,24 +115,22 @@ def top_k(scores: DataFrame, keys: Sequence[str], k: int, score_col: str = "scor
 
 def top_k_padded(scores: DataFrame, queries: DataFrame, index: dict[str, DataFrame],
                  keys: Sequence[str], k: int) -> DataFrame:
-    """R4 with the reference's padding: exactly min(k, N) docs per query.
-
-    Documents that share no token score 0 and, on ties, later documents
-    come first.  Only the last 2k documents of a corpus can enter a list as
-    zero-score padding (at most k scored documents precede them), so the
-    candidates are the matched documents plus those 2k per corpus: no
-    query x corpus product is formed.  Exact whenever scores are >= 0,
-    i.e. whenever the corpus' mean idf is not negative.
+    """R4 with padding: exactly min(k, N) docs per query.
+
+    Documents that share no token score 0, between positive and negative
+    scores, later documents first.  A query with m matched documents finds its
+    k latest unmatched ones among the last k + m of the corpus, so those are
+    looked up by their number from the end: no query x corpus product.
     """
+    from .cells import group_ordinals
     keys = [c for c in keys if c != "corpus_id"]
-    w_last = Window.partitionBy("corpus_id").orderBy(F.desc("doc_ord"))
-    # one row per corpus holding its last 2k document ids (bounded array)
-    tail = (index["docs"].select("corpus_id", "doc_ord")
-            .withColumn("_r", F.row_number().over(w_last)).where(F.col("_r") <= 2 * k)
-            .groupBy("corpus_id").agg(F.collect_list("doc_ord").alias("_tail")))
-    qk = queries.select(*keys, "corpus_id").distinct()
-    pad = (qk.join(F.broadcast(tail), "corpus_id")
-           .select(*keys, "corpus_id", F.explode("_tail").alias("doc_ord"), F.lit(0.0).alias("score")))
-    allc = (scores.unionByName(pad)
-            .groupBy(*keys, "corpus_id", "doc_ord").agg(F.max("score").alias("score")))
-    return top_k(allc, [*keys, "corpus_id"], k)
+    docs = index["docs"].select("corpus_id", "doc_ord").withColumn("_desc", -F.col("doc_ord"))
+    from_end = group_ordinals(docs, ["corpus_id"], ["_desc"], col="_from_end").drop("_desc")
+    matched = scores.groupBy(*keys, "corpus_id").agg(F.count(F.lit(1)).alias("_m"))
+    need = queries.select(*keys, "corpus_id").distinct().join(matched, [*keys, "corpus_id"], "left")
+    need = need.select(*keys, "corpus_id", F.explode(F.sequence(
+        F.lit(0).cast("long"), F.coalesce("_m", F.lit(0)) + F.lit(k - 1))).alias("_from_end"))
+    pad = (need.join(from_end, ["corpus_id", "_from_end"])
+           .join(scores.select(*keys, "corpus_id", "doc_ord"), [*keys, "corpus_id", "doc_ord"], "left_anti")
+           .select(*keys, "corpus_id", "doc_ord", F.lit(0.0).alias("score")))
+    return top_k(scores.select(*keys, "corpus_id", "doc_ord", "score").unionByName(pad), [*keys, "corpus_id"], k)

@@ -1,4 +1,4 @@
-"""Retrieval corpora built by aggregation.
+"""Retrieval corpora built by aggregation.
 
 Every builder takes the long ``cells`` form of many tables and returns
 ``docs(table_id, doc_ord, page_content[, result_text, row_id, col_id])`` for
@@ -11,11 +11,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.render import json_string
+from .cells import group_ordinals
 from .profile import numeric_json, numeric_profile, top_values, value_counts
 
 
-def cell_docs(cells: DataFrame, budget: int) -> DataFrame:
-    """Cell documents under a cell budget B per table.
+def _cell_json() -> Column:
+    return F.concat(F.lit('{"column_name": '), json_string(F.col("column_name")),
+                    F.lit(', "cell_value": '), json_string(F.col("value")), F.lit("}"))
+
+
+def cell_docs(cells: DataFrame, budget: int | None = None) -> DataFrame:
+    """Cell documents of every table, all of them or under a cell budget B.
 
     * one document per numeric column with its min / max, always kept, first;
     * categorical documents ``{"column_name", "cell_value"}``: the B most
@@ -24,7 +30,9 @@ def cell_docs(cells: DataFrame, budget: int) -> DataFrame:
       position, value).
 
     The per-column window prunes before the per-table window, so the
-    second window sees at most B rows per column.
+    second window sees at most B rows per column.  Without a budget every
+    distinct value is a document, and documents are numbered in the same order
+    by distributed ordinals.
     """
     num = numeric_profile(cells)
     num = num.select("table_id", "col_id", numeric_json(num).alias("page_content"))
@@ -32,6 +40,13 @@ def cell_docs(cells: DataFrame, budget: int) -> DataFrame:
     num = num.withColumn("doc_ord", (F.row_number().over(w_num) - 1).cast("long"))
     n_num = num.groupBy("table_id").agg(F.count(F.lit(1)).alias("n_numeric"))
 
+    if budget is None:
+        ranked = group_ordinals(value_counts(cells).withColumn("_desc", -F.col("cnt")), ["table_id"], ["_desc", "col_id", "value"], col="trank")
+        cat = (ranked.join(n_num, "table_id", "left")
+               .select("table_id", "col_id", _cell_json().alias("page_content"),
+                       (F.coalesce("n_numeric", F.lit(0)) + F.col("trank")).cast("long").alias("doc_ord")))
+        return num.select("table_id", "doc_ord", "page_content").unionByName(cat.select("table_id", "doc_ord", "page_content"))
+
     per_col = top_values(value_counts(cells), budget)
     w_tab = Window.partitionBy("table_id").orderBy(F.desc("cnt"), F.asc("col_id"), F.asc("vrank"))
     cat = (per_col.withColumn("trank", F.row_number().over(w_tab))
@@ -39,10 +54,7 @@ def cell_docs(cells: DataFrame, budget: int) -> DataFrame:
            .join(n_num, "table_id", "left")
            .withColumn("n_numeric", F.coalesce("n_numeric", F.lit(0)))
            .where(F.col("trank") <= F.greatest(F.lit(0), F.lit(budget) - F.col("n_numeric")))
-           .select("table_id", "col_id",
-                   F.concat(F.lit('{"column_name": '), json_string(F.col("column_name")),
-                            F.lit(', "cell_value": '), json_string(F.col("value")),
-                            F.lit("}")).alias("page_content"),
+           .select("table_id", "col_id", _cell_json().alias("page_content"),
                    (F.col("n_numeric") + F.col("trank") - 1).cast("long").alias("doc_ord")))
     return num.select("table_id", "doc_ord", "page_content").unionByName(
         cat.select("table_id", "doc_ord", "page_content"))
@@ -67,19 +79,6 @@ def _placeholder() -> Column:
             .when(F.col("dtype").startswith("datetime"), "NaT").otherwise("None"))
 
 
-def row_docs(cells: DataFrame) -> DataFrame:
-    """``'|'.join(cells)`` per row, doc_ord = row_id.
-
-    Pass budgeted cells (D2): a row document gathers one row's cells.
-    """
-    return (cells.withColumn("_v", F.coalesce("value", _placeholder()))
-            .groupBy("table_id", "row_id")
-            .agg(F.sort_array(F.collect_list(F.struct("col_id", "_v"))).alias("_c"))
-            .select("table_id", F.col("row_id").alias("doc_ord"),
-                    F.array_join(F.transform("_c", lambda s: s["_v"]), "|").alias("page_content"),
-                    "row_id"))
-
-
 def row_docs_wide(df: DataFrame, table_id: str, budget: int | None = None) -> DataFrame:
     """C7 straight from a wide table: a narrow map, no shuffle."""
     from ..functions.render import is_numeric_type, render, TIMESTAMPS
@@ -101,7 +100,8 @@ def row_docs_wide(df: DataFrame, table_id: str, budget: int | None = None) -> Da
 def column_docs(cells: DataFrame) -> DataFrame:
     """All values of a column joined by ``|`` in row order, doc_ord = col_id.
 
-    Pass budgeted cells (D2): each group then holds at most B/2/ncols values.
+    A document is one text, so a whole column meets in one task; under a budget
+    (D2) that is at most B/2/ncols values.
     """
     return (cells.withColumn("_v", F.coalesce("value", _placeholder()))
             .groupBy("table_id", "col_id")
@@ -110,8 +110,3 @@ def column_docs(cells: DataFrame) -> DataFrame:
                     F.array_join(F.transform("_c", lambda s: s["_v"]), "|").alias("page_content"),
                     "col_id"))
 
-
-def build_once(catalog: DataFrame) -> DataFrame:
-    """One entry per table id (first by path) before any corpus build."""
-    w = Window.partitionBy("table_id").orderBy("table_path")
-    return catalog.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")

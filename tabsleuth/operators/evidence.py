@@ -20,6 +20,8 @@ from ..functions.text import token_count
 # Layout of an evidence section.
 RULE = "=" * 72
 NONE_TEXT = "(none)"
+SCHEMA_QUERIES, SCHEMA_RESULTS = "Schema Retrieval Queries: ", "Schema Retrieval Results:"
+CELL_QUERIES, CELL_RESULTS = "Cell Retrieval Queries: ", "Cell Retrieval Results:"
 
 
 def _ordered_join(values: str, order: str, sep: str) -> Column:
@@ -27,51 +29,65 @@ def _ordered_join(values: str, order: str, sep: str) -> Column:
     return F.array_join(F.transform(s, lambda x: x[values]), sep)
 
 
+def _placed(candidates: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Candidates with their alias df1, df2, ... by place in the list (not by
+    rank, which may have gaps) and a title (the table id if there is none)."""
+    order = "position" if "position" in candidates.columns else "rank"
+    w = Window.partitionBy(*keys).orderBy(order, "table_id")
+    title = F.coalesce(F.col("title"), F.col("table_id")) if "title" in candidates.columns else F.col("table_id")
+    return (candidates.withColumn("place", F.row_number().over(w))
+            .select(*keys, "place", "rank", "table_id", title.alias("title"),
+                    F.concat(F.lit("df"), F.col("place").cast("string")).alias("alias")))
+
+
 def evidence(union: DataFrame, queries: DataFrame, candidates: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per question the evidence text (sections in candidate order)
     and the candidate map text.
 
     union: keys..., table_id, data_type, ord, result_text (R10 output);
-    queries: keys..., query_pos, query; candidates: keys..., rank, table_id.
+    queries: keys..., query_pos, query and optionally kind (column / schema or
+    cell; without it every query is listed for both); candidates: keys...,
+    rank, table_id and optionally position and title.
     """
     k = list(keys)
     docs = (union.groupBy(*k, "table_id", "data_type")
             .agg(_ordered_join("result_text", "ord", "\n").alias("docs")))
-    qlist = queries.groupBy(*k).agg(_ordered_join("query", "query_pos", ", ").alias("qlist"))
+    kind = F.col("kind") if "kind" in queries.columns else F.lit(None).cast("string")
+    q = queries.select(*k, "query_pos", "query", kind.alias("_kind"))
+    schema_q = (q.where("_kind is null or _kind in ('column', 'schema')").groupBy(*k)
+                .agg(_ordered_join("query", "query_pos", ", ").alias("schema_q")))
+    cell_q = q.where("_kind is null or _kind = 'cell'").groupBy(*k).agg(_ordered_join("query", "query_pos", ", ").alias("cell_q"))
     sch = docs.where(F.col("data_type") == "schema").select(*k, "table_id", F.col("docs").alias("schema_docs"))
     cel = docs.where(F.col("data_type") == "cell").select(*k, "table_id", F.col("docs").alias("cell_docs"))
-    c = (candidates.select(*k, "rank", "table_id")
-         .join(qlist, k, "left").join(sch, [*k, "table_id"], "left").join(cel, [*k, "table_id"], "left"))
-    alias = F.concat(F.lit("df"), F.col("rank").cast("string"))
-    q = F.coalesce(F.col("qlist"), F.lit(""))
+    c = (_placed(candidates, k).join(schema_q, k, "left").join(cell_q, k, "left")
+         .join(sch, [*k, "table_id"], "left").join(cel, [*k, "table_id"], "left"))
     section = F.concat_ws(
         "\n", F.lit(RULE),
-        F.concat(F.lit("Candidate "), alias, F.lit(" | rank="), F.col("rank").cast("string"),
+        F.concat(F.lit("Candidate "), F.col("alias"), F.lit(" | rank="), F.col("rank").cast("string"),
                  F.lit(" | table_id="), F.col("table_id")),
         F.lit(RULE),
-        F.concat(F.lit("Schema Retrieval Queries: "), q), F.lit("Schema Retrieval Results:"),
+        F.concat(F.lit(SCHEMA_QUERIES), F.coalesce("schema_q", F.lit(""))), F.lit(SCHEMA_RESULTS),
         F.coalesce(F.col("schema_docs"), F.lit(NONE_TEXT)), F.lit(""),
-        F.concat(F.lit("Cell Retrieval Queries: "), q), F.lit("Cell Retrieval Results:"),
+        F.concat(F.lit(CELL_QUERIES), F.coalesce("cell_q", F.lit(""))), F.lit(CELL_RESULTS),
         F.coalesce(F.col("cell_docs"), F.lit(NONE_TEXT)))
-    line = F.concat(alias, F.lit(": table_id="), F.col("table_id"), F.lit(" | title="), F.col("table_id"))
-    c = c.select(*k, "rank", section.alias("section"), line.alias("line"))
-    return c.groupBy(*k).agg(_ordered_join("section", "rank", "\n\n").alias("evidence"),
-                             _ordered_join("line", "rank", "\n").alias("candidate_map"),
+    line = F.concat(F.col("alias"), F.lit(": table_id="), F.col("table_id"), F.lit(" | title="), F.col("title"))
+    c = c.select(*k, "place", section.alias("section"), line.alias("line"))
+    return c.groupBy(*k).agg(_ordered_join("section", "place", "\n\n").alias("evidence"),
+                             _ordered_join("line", "place", "\n").alias("candidate_map"),
                              F.count(F.lit(1)).alias("num_tables"))
 
 
 def docs_maps(union: DataFrame, candidates: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Alias -> retrieved documents, one map per kind per question."""
     k = list(keys)
-    d = (union.join(candidates.select(*k, "table_id", "rank"), [*k, "table_id"])
-         .groupBy(*k, "rank", "data_type")
+    d = (union.join(_placed(candidates, k).select(*k, "table_id", "alias"), [*k, "table_id"])
+         .groupBy(*k, "alias", "data_type")
          .agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "result_text"))),
                           lambda s: s["result_text"]).alias("docs")))
-    alias = F.concat(F.lit("df"), F.col("rank").cast("string"))
     return (d.groupBy(*k).agg(
-        F.map_from_entries(F.collect_list(F.when(F.col("data_type") == "schema", F.struct(alias, "docs"))))
+        F.map_from_entries(F.collect_list(F.when(F.col("data_type") == "schema", F.struct("alias", "docs"))))
         .alias("retrieved_columns"),
-        F.map_from_entries(F.collect_list(F.when(F.col("data_type") == "cell", F.struct(alias, "docs"))))
+        F.map_from_entries(F.collect_list(F.when(F.col("data_type") == "cell", F.struct("alias", "docs"))))
         .alias("retrieved_cells")))
 
 
@@ -92,19 +108,18 @@ def templates(spark) -> DataFrame:
     return spark.createDataFrame(TEMPLATES, "task string, agent string, kind string, template string")
 
 
-def prompts(requests: DataFrame, tmpl: DataFrame, fields: Sequence[str], limit: int) -> DataFrame:
+def prompts(requests: DataFrame, tmpl: DataFrame, fields: Sequence[str], limit: int | None = None) -> DataFrame:
     """SC20 J11 SC17 F10: fill the template of each request's (task, agent,
-    kind); an unknown pair fails; prompts over ``limit`` tokens become the
-    error text."""
+    kind); an unknown pair fails; with a ``limit`` prompts of more tokens
+    become the error text."""
     j = requests.join(F.broadcast(tmpl), ["task", "agent", "kind"], "left")  # a handful of rows
     t = F.coalesce(F.col("template"), F.raise_error(F.lit("unsupported task / agent pair")).cast("string"))
     filled = fill_template(t, {f: F.col(f) for f in fields})
-    n = token_count(filled)
-    return (j.select("*", filled.alias("_p")).select(
-        "*", token_count(F.col("_p")).alias("n_tokens"))
-        .withColumn("prompt", F.when(F.col("n_tokens") > limit,
-                                     F.lit("Error: the prompt exceeds the context limit.")).otherwise(F.col("_p")))
-        .drop("_p", "template"))
+    out = j.select("*", filled.alias("prompt")).withColumn("n_tokens", token_count(F.col("prompt")))
+    if limit is not None:
+        out = out.withColumn("prompt", F.when(F.col("n_tokens") > limit, F.lit("Error: the prompt exceeds the context limit."))
+                             .otherwise(F.col("prompt")))
+    return out.drop("template")
 
 
 def markdown(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -133,7 +148,7 @@ def random_rows(cells: DataFrame, k: int, seed: int, keys: Sequence[str] = ("tab
     """K rows per table chosen by a seeded hash (reproducible), in row order;
     the whole table when it has <= k rows."""
     rows = cells.select(*keys, "row_id").distinct()
-    w = Window.partitionBy(*keys).orderBy(F.xxhash64(F.col("row_id"), F.lit(seed)), "row_id")
+    w = Window.partitionBy(*keys).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("row_id").cast("string"))), "row_id")
     pick = rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
     return cells.join(pick, [*keys, "row_id"], "left_semi")
 

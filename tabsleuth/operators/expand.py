@@ -16,29 +16,23 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.parse import identity_hash  # noqa: F401  (re-exported)
 from ..functions.text import WORD_PATTERN, is_numeric_text
 
 # Fixed value: punctuation stripped from both ends of a question token.
 EDGE_PUNCT = r"""^[.,;:!?'"()\[\]]+|[.,;:!?'"()\[\]]+$"""
-MAX_NGRAM = 3
+# Positions order queries first, lengths among those that begin together.
+POSITION = 1000
 
 
-def question_ngrams(questions: DataFrame, keys: Sequence[str], text_col: str = "question",
-                    max_n: int = MAX_NGRAM) -> DataFrame:
-    """Whitespace tokens (edge punctuation stripped, lower-cased) and their
-    n-grams up to ``max_n``: keys..., pos, n, term."""
+def question_ngrams(questions: DataFrame, keys: Sequence[str], text_col: str = "question") -> DataFrame:
+    """Whitespace tokens (edge punctuation stripped, lower-cased) and all their
+    n-grams, up to the whole question: keys..., pos, n, term."""
     toks = F.transform(F.split(F.trim(F.col(text_col)), r"\s+"),
                        lambda t: F.lower(F.regexp_replace(t, EDGE_PUNCT, "")))
-    q = questions.select(*keys, toks.alias("_t"))
-    out = None
-    for n in range(1, max_n + 1):
-        g = q.select(*keys, F.posexplode(F.sequence(F.lit(0), F.greatest(F.size("_t") - n, F.lit(-1)))).alias("_i", "pos"),
-                     "_t").where(F.col("pos") >= 0)
-        g = g.select(*keys, "pos", F.lit(n).alias("n"),
-                     F.array_join(F.slice("_t", F.col("pos") + 1, n), " ").alias("term"))
-        out = g if out is None else out.unionByName(g)
-    return out.where(F.col("term") != "")
+    q = questions.select(*keys, F.posexplode(toks).alias("pos", "_first"), toks.alias("_t"))
+    q = q.select(*keys, "pos", F.explode(F.sequence(F.lit(1), F.size("_t") - F.col("pos"))).alias("n"), "_t")
+    return (q.select(*keys, "pos", "n", F.array_join(F.slice("_t", F.col("pos") + 1, F.col("n")), " ").alias("term"))
+            .where(F.col("term") != ""))
 
 
 def builtin_cell_queries(questions: DataFrame, cells: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -56,7 +50,7 @@ def builtin_cell_queries(questions: DataFrame, cells: DataFrame, keys: Sequence[
     hits = hits.where(~is_numeric_text(F.col("term")) & (F.trim("term") != ""))
     return (hits.groupBy(*keys, "term").agg(F.min(F.struct("pos", "n")).alias("_f"))
             .select(*keys, F.lit("cell").alias("kind"), F.col("term").alias("query"),
-                    (F.col("_f.pos") * 10 + F.col("_f.n")).cast("long").alias("query_pos")))
+                    (F.col("_f.pos") * POSITION + F.col("_f.n")).cast("long").alias("query_pos")))
 
 
 def _stem(c):
@@ -65,14 +59,13 @@ def _stem(c):
 
 def builtin_column_queries(questions: DataFrame, cells: DataFrame, keys: Sequence[str],
                            text_col: str = "question") -> DataFrame:
-    """L1 (columns): column names sharing a word (>= 3 characters, plural
-    's' dropped) with the question; ordered by the first shared word."""
+    """L1 (columns): column names sharing a word (plural 's' dropped) with the question; ordered by the first shared word."""
     words = questions.select(*keys, F.posexplode(F.regexp_extract_all(F.lower(F.col(text_col)),
                                                                       F.lit(WORD_PATTERN), 0)).alias("pos", "w"))
-    words = words.where(F.length("w") >= 3).select(*keys, "pos", _stem(F.col("w")).alias("tok"))
+    words = words.select(*keys, "pos", _stem(F.col("w")).alias("tok"))
     cols = (cells.select("column_name").distinct()
             .select("column_name", F.explode(F.regexp_extract_all(F.lower("column_name"), F.lit(WORD_PATTERN), 0))
-                    .alias("t")).where(F.length("t") >= 3)
+                    .alias("t"))
             .select("column_name", _stem(F.col("t")).alias("tok")).distinct())
     j = words.join(cols, "tok")
     return (j.groupBy(*keys, "column_name").agg(F.min("pos").alias("query_pos"))
@@ -89,10 +82,12 @@ def builtin_expand(questions: DataFrame, cells: DataFrame, keys: Sequence[str])
 CACHE_VERSION = "1"
 
 
-def request_key(kind: str, prompt, remove_numeric: bool, model: str = "builtin"):
-    """SC22: identity of an expansion request (sha-256 of a canonical text)."""
-    return F.sha2(F.concat_ws("|", F.lit("v" + CACHE_VERSION), F.lit(kind), prompt,
-                              F.lit(str(remove_numeric).lower()), F.lit(model)), 256)
+def request_key(kind: str, prompt, remove_numeric: bool, model: str = "builtin", temperature: float = 0.0,
+                top_p: float = 1.0, max_tokens: int | None = None, effort: str | None = None):
+    """SC22: identity of an expansion request (sha-256 of a canonical text) with
+    everything that can change its answer."""
+    settings = [str(remove_numeric).lower(), model, f"{temperature:g}", f"{top_p:g}", str(max_tokens), str(effort)]
+    return F.sha2(F.concat_ws("|", F.lit("v" + CACHE_VERSION), F.lit(kind), prompt, *[F.lit(x) for x in settings]), 256)
 
 
 def cached(requests: DataFrame, cache: DataFrame | None, compute: Callable[[DataFrame], DataFrame],

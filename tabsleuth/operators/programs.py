@@ -1,12 +1,11 @@
 """Table-question programs (L4).
 
-The reference lets the model write pandas code that runs in a Python REPL.
-Here a program is a typed row -- (program_id, table_id, filter column,
+Model-written code is not run.  A program is a typed row -- (program_id, table_id, filter column,
 filter value, aggregate, target column) -- and all programs are evaluated
 at once: one equi-join of the programs with the filter cells on
 (table, column, value), one equi-join with the target cells on
-(table, row, column), and one grouped aggregation by program.  No code is
-executed; no table is collected.
+(table, row, column), and one grouped aggregation by program; count counts values, not nulls.  No
+table is collected.
 """
 
 from __future__ import annotations
@@ -22,6 +21,9 @@ AGGS = ("count", "sum", "mean", "min", "max", "nunique", "mode", "any", "all")
 def evaluate(programs: DataFrame, cells: DataFrame) -> DataFrame:
     """programs(program_id, table_id, filter_col, filter_value, agg, target_col)
     -> (program_id, agg, answer text, n_rows)."""
+    # An unknown aggregate fails; nothing is answered for it.
+    programs = programs.withColumn("agg", F.when(F.col("agg").isin(*AGGS), F.col("agg")).otherwise(
+        F.raise_error(F.concat(F.lit("unknown aggregate: "), F.coalesce("agg", F.lit("null")))).cast("string")))
     c = cells.select("table_id", "row_id", "column_name", "value", "num")
     filt = programs.where(F.col("filter_col").isNotNull())
     rows_f = (filt.join(c.select("table_id", F.col("column_name").alias("filter_col"),
@@ -35,10 +37,10 @@ def evaluate(programs: DataFrame, cells: DataFrame) -> DataFrame:
     vals = rows.join(c.select("table_id", "row_id", F.col("column_name").alias("target_col"), "value", "num"),
                      ["table_id", "row_id", "target_col"])
     # mode: a partial count by (program, value), then the most frequent (ties: smallest value)
-    mode = (vals.where(F.col("agg") == "mode").groupBy("program_id", "value").agg(F.count(F.lit(1)).alias("_n"))
+    mode = (vals.where((F.col("agg") == "mode") & F.col("value").isNotNull()).groupBy("program_id", "value").agg(F.count(F.lit(1)).alias("_n"))
             .groupBy("program_id").agg(F.min_by("value", F.struct(-F.col("_n"), F.col("value"))).alias("mode_value")))
     agg = (vals.groupBy("program_id", "agg")
-           .agg(F.count(F.lit(1)).alias("n_rows"),
+           .agg(F.count(F.lit(1)).alias("n_rows"), F.count("value").alias("_present"),
                 # exact decimal sums: the answer does not depend on summation order
                 F.sum(F.col("num").cast("decimal(38,10)")).cast("double").alias("_sum"),
                 (F.sum(F.col("num").cast("decimal(38,10)")).cast("double") / F.count("num")).alias("_mean"),
@@ -47,7 +49,7 @@ def evaluate(programs: DataFrame, cells: DataFrame) -> DataFrame:
                 F.bool_or(F.col("num") != 0).alias("_any"), F.bool_and(F.col("num") != 0).alias("_all")))
     a = F.col("agg")
     num = lambda x: number_print(F.round(x, 6))
-    answer = (F.when(a == "count", F.col("n_rows").cast("string"))
+    answer = (F.when(a == "count", F.col("_present").cast("string"))
               .when(a == "sum", num(F.col("_sum"))).when(a == "mean", num(F.col("_mean")))
               .when(a == "min", num(F.col("_min"))).when(a == "max", num(F.col("_max")))
               .when(a == "nunique", F.col("_nunique").cast("string"))

@@ -19,7 +19,7 @@ from .corpus import cell_docs
 from .profile import schema_docs
 
 
-def table_corpora(cells: DataFrame, budget: int) -> DataFrame:
+def table_corpora(cells: DataFrame, budget: int | None = None) -> DataFrame:
     """Schema and cell corpora of every table.
 
     docs(corpus_id, data_type, table_id, doc_ord, page_content, result_text):
@@ -59,6 +59,7 @@ def pin_queries(queries: DataFrame, candidates: DataFrame, keys: Sequence[str],
     """
     kinds = F.array(*[F.lit(t) for t in data_types])
     q = queries if "kind" in queries.columns else queries.withColumn("kind", F.explode(kinds))
+    q = q.withColumn("kind", F.when(F.col("kind") == "column", "schema").otherwise(F.col("kind")))
     q = q.where(F.col("kind").isin(*data_types))
     return (q.join(candidates.select(*keys, "table_id"), list(keys))
             .withColumn("corpus_id", corpus_key(F.col("kind"), F.col("table_id"))))
@@ -192,19 +193,22 @@ def row_col_sample(queries: DataFrame, wide_cells: DataFrame, row_docs: DataFram
 
 def build_or_reuse(docs: DataFrame, analyzer: str, root: str) -> DataFrame:
     """K6: persisted BM25 postings keyed by an identity of each corpus
-    (analyzer, corpus id, document count, total text length).  Only
+    (analyzer, corpus id, number and hash of its documents).  Only
     corpora whose identity is not yet under ``root`` are built (left anti
     join); the rest is reused.  Returns (corpus_id, index_id, built, n_postings)."""
     from pyspark.sql.utils import AnalysisException
     spark = docs.sparkSession
+    content = F.xxhash64("doc_ord", "page_content").cast("decimal(20,0)")
     ident = (docs.groupBy("corpus_id")
-             .agg(F.count(F.lit(1)).alias("_n"), F.sum(F.length("page_content")).alias("_len"))
-             .select("corpus_id", F.sha2(F.concat_ws("|", F.lit("bm25-v1"), F.lit(analyzer), "corpus_id",
-                                                     F.col("_n").cast("string"), F.col("_len").cast("string")),
+             .agg(F.count(F.lit(1)).alias("_n"), F.sum(content).alias("_content"))
+             .select("corpus_id", F.sha2(F.concat_ws("|", F.lit("bm25-v2"), F.lit(analyzer), "corpus_id",
+                                                     F.col("_n").cast("string"), F.col("_content").cast("string")),
                                          256).alias("index_id")))
     try:
         existing = spark.read.parquet(root).select("index_id").distinct()
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         existing = spark.createDataFrame([], "index_id string")
     missing = ident.join(existing, "index_id", "left_anti")
     todo = docs.join(missing, "corpus_id", "left_semi")

@@ -56,17 +56,18 @@ def sql_schema_docs(cells: str) -> str:
             f"FROM {sql_categorical_profile(cells)})")
 
 
-def sql_cell_docs(cells: str, budget: int) -> str:
+def sql_cell_docs(cells: str, budget: int | None = None) -> str:
     num = (f"(SELECT table_id, CAST(row_number() OVER (PARTITION BY table_id ORDER BY col_id) - 1 AS BIGINT) AS doc_ord, "
            f"{sql_numeric_json()} AS page_content FROM {sql_numeric_profile(cells)})")
     cat = (f"(SELECT t.*, coalesce(nn.n_numeric, 0) AS n_numeric FROM (SELECT *, row_number() OVER "
            f"(PARTITION BY table_id ORDER BY cnt DESC, col_id ASC, vrank ASC) AS trank "
-           f"FROM {sql_top_values(cells, budget)}) t LEFT JOIN (SELECT table_id, count(*) AS n_numeric "
+           f"FROM {sql_top_values(cells, budget if budget is not None else 1 << 62)}) t LEFT JOIN (SELECT table_id, count(*) AS n_numeric "
            f"FROM {sql_numeric_profile(cells)} GROUP BY table_id) nn USING (table_id))")
+    limit = "true" if budget is None else f"trank <= {budget} AND trank <= greatest(0, {budget} - n_numeric)"
     return (f"(SELECT table_id, doc_ord, page_content FROM {num} UNION ALL "
             f"SELECT table_id, CAST(n_numeric + trank - 1 AS BIGINT) AS doc_ord, "
             f"'{{\"column_name\": ' || {J('column_name')} || ', \"cell_value\": ' || {J('value')} || '}}' AS page_content "
-            f"FROM {cat} WHERE trank <= {budget} AND trank <= greatest(0, {budget} - n_numeric))")
+            f"FROM {cat} WHERE {limit})")
 
 
 def sql_row_docs(name: str, budget: int | None) -> str:
@@ -178,3 +179,25 @@ def column_corpus(spark, sf_dir):
     """Column documents over the leading rows under budget 1000."""
     cells = C.cells_of(X.star_tables(spark, sf_dir, ["nation", "part"]))
     return K.column_docs(K.budgeted_cells(cells, 1000)).drop("col_id")
+
+
+@register("cell_corpus", f"SELECT * FROM {sql_cell_docs(X.sql_cells(['part', 'customer', 'orders']))}")
+def cell_corpus(spark, sf_dir):
+    """Cell documents of whole tables, every distinct value."""
+    return K.cell_docs(C.cells_of(X.star_tables(spark, sf_dir, ["part", "customer", "orders"])))
+
+
+@register("row_corpus_whole",
+          f"SELECT table_id, doc_ord, page_content FROM {sql_row_docs('part', None)} "
+          f"UNION ALL SELECT table_id, doc_ord, page_content FROM {sql_row_docs('orders', None)}")
+def row_corpus_whole(spark, sf_dir):
+    """A document of every row."""
+    t = X.star_tables(spark, sf_dir, ["part", "orders"])
+    return (K.row_docs_wide(t["part"], "part").unionByName(K.row_docs_wide(t["orders"], "orders")).drop("row_id"))
+
+
+@register("column_corpus_whole",
+          f"SELECT table_id, doc_ord, page_content FROM {sql_column_docs(X.sql_cells(['nation', 'part', 'supplier']))}")
+def column_corpus_whole(spark, sf_dir):
+    """A document of every whole column."""
+    return K.column_docs(C.cells_of(X.star_tables(spark, sf_dir, ["nation", "part", "supplier"]))).drop("col_id")

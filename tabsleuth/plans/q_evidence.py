@@ -68,28 +68,37 @@ def _sql_fill(tmpl: str, fields: dict[str, str]) -> str:
 
 
 PROMPT_LIMIT = 2000
-
-
-@register("prompt_fill",
-          sql_plan_ctes() + SQL_UNION + f""", pr AS (SELECT ev.question_id, {_sql_fill(EV.SOLVE_TEMPLATE, {
+SQL_PROMPTS = sql_plan_ctes() + SQL_UNION + f""", pr AS (SELECT ev.question_id, {_sql_fill(EV.SOLVE_TEMPLATE, {
               'num_tables': 'ev.num_tables', 'query': 'q.question', 'candidate_table_map': 'ev.candidate_map',
               'table_evidence': 'ev.evidence'})} AS p FROM ev JOIN questions q USING (question_id)),
 pt AS (SELECT question_id, p, CAST(len(regexp_extract_all(p, '\\w+|[^\\w\\s]')) AS BIGINT) AS n_tokens FROM pr)
-SELECT question_id, n_tokens, CASE WHEN n_tokens > {PROMPT_LIMIT} THEN 'Error: the prompt exceeds the context limit.'
-  ELSE p END AS prompt FROM pt""")
-def prompt_fill(spark, sf_dir):
-    """SC20 J11 SC17 F10: solve prompts from the template dimension, token
-    counts, and the context guard."""
+"""
+
+
+def _prompts(spark, sf_dir, limit=None):
     p, u, ev = evidence_frame(spark, sf_dir)
     req = (ev.join(p["questions"], "question_id")
            .select("question_id", F.lit("databench").alias("task"), F.lit("multi").alias("agent"),
                    F.lit("solve").alias("kind"), F.col("question").alias("query"), "num_tables",
                    F.col("candidate_map").alias("candidate_table_map"), F.col("evidence").alias("table_evidence")))
-    out = EV.prompts(req, EV.templates(spark), ["num_tables", "query", "candidate_table_map", "table_evidence"],
-                     PROMPT_LIMIT)
+    out = EV.prompts(req, EV.templates(spark), ["num_tables", "query", "candidate_table_map", "table_evidence"], limit)
     return out.select("question_id", "n_tokens", "prompt")
 
 
+@register("prompt_fill", SQL_PROMPTS + "SELECT question_id, n_tokens, p AS prompt FROM pt")
+def prompt_fill(spark, sf_dir):
+    """SC20 J11 SC17: solve prompts from the template dimension and their token counts."""
+    return _prompts(spark, sf_dir)
+
+
+@register("prompt_guard",
+          SQL_PROMPTS + f"""SELECT question_id, n_tokens, CASE WHEN n_tokens > {PROMPT_LIMIT}
+  THEN 'Error: the prompt exceeds the context limit.' ELSE p END AS prompt FROM pt""")
+def prompt_guard(spark, sf_dir):
+    """the context guard on the same prompts."""
+    return _prompts(spark, sf_dir, PROMPT_LIMIT)
+
+
 def _sql_markdown(name: str) -> str:
     cols = X.STAR_SCHEMAS[name]
     hdr = " | ".join(c for c, _ in cols)
@@ -101,30 +110,20 @@ def _sql_markdown(name: str) -> str:
 
 GUARD_LIMIT = 1000
 BASE_TABLES = ["region", "nation", "supplier", "part"]
+SQL_SHAPES = "WITH s AS (" + " UNION ALL ".join(
+    f"SELECT '{n}' AS table_id, count(*) AS n_rows, {len(X.STAR_SCHEMAS[n])} AS n_cols FROM {n}"
+    for n in BASE_TABLES) + "), md AS (" + " UNION ALL ".join(_sql_markdown(n) for n in BASE_TABLES) + ")"
 
 
 @register("context_by_baseline",
-          "WITH s AS (" + " UNION ALL ".join(
-              f"SELECT '{n}' AS table_id, count(*) AS n_rows, {len(X.STAR_SCHEMAS[n])} AS n_cols FROM {n}"
-              for n in BASE_TABLES) + "), md AS (" + " UNION ALL ".join(_sql_markdown(n) for n in BASE_TABLES)
-          + f"""), info AS (SELECT table_id, string_agg(column_name || ': ' || dtype || ', ' ||
+          SQL_SHAPES + f""", info AS (SELECT table_id, string_agg(column_name || ': ' || dtype || ', ' ||
   CAST(non_null AS VARCHAR) || ' non-null', chr(10) ORDER BY col_id) AS info FROM (SELECT table_id, col_id, column_name,
   dtype, count(value) AS non_null FROM {X.sql_cells(BASE_TABLES)} GROUP BY ALL) GROUP BY table_id)
-SELECT s.table_id, 'full' AS agent_type, CASE WHEN 3 * n_rows * n_cols > {GUARD_LIMIT}
-  THEN 'Error: the table is too large.' ELSE md.markdown END AS context FROM s JOIN md USING (table_id)
-UNION ALL SELECT table_id, 'schema', info FROM info""")
+SELECT table_id, 'full' AS agent_type, markdown AS context FROM md UNION ALL SELECT table_id, 'schema', info FROM info""")
 def context_by_baseline(spark, sf_dir):
-    """Whole-table (size-guarded) and schema-info contexts."""
-    tabs = X.star_tables(spark, sf_dir, BASE_TABLES)
-    cells = C.cells_of(tabs)
-    shape = P.table_shape_wide(tabs)
-    guard = EV.size_guard(shape, GUARD_LIMIT)
-    small = guard.where(~F.col("too_large")).select("table_id")
-    md = EV.markdown(cells.join(small, "table_id", "left_semi"), ["table_id"])
-    full = (guard.join(md, "table_id", "left")
-            .select("table_id", F.lit("full").alias("agent_type"),
-                    F.when(F.col("too_large"), F.lit("Error: the table is too large.")).otherwise(F.col("markdown"))
-                    .alias("context")))
+    """Whole-table and schema-info contexts."""
+    cells = C.cells_of(X.star_tables(spark, sf_dir, BASE_TABLES))
+    full = EV.markdown(cells, ["table_id"]).select("table_id", F.lit("full").alias("agent_type"), F.col("markdown").alias("context"))
     ci = P.column_info(cells)
     line = F.concat(F.col("column_name"), F.lit(": "), F.col("dtype"), F.lit(", "),
                     F.col("non_null").cast("string"), F.lit(" non-null"))
@@ -133,6 +132,19 @@ def context_by_baseline(spark, sf_dir):
     return full.unionByName(info.select("table_id", F.lit("schema").alias("agent_type"), "context"))
 
 
+@register("context_guard",
+          SQL_SHAPES + f"""SELECT s.table_id, CASE WHEN 3 * n_rows * n_cols > {GUARD_LIMIT}
+  THEN 'Error: the table is too large.' ELSE md.markdown END AS context FROM s JOIN md USING (table_id)""")
+def context_guard(spark, sf_dir):
+    """whole-table contexts behind the size guard; large tables are never rendered."""
+    tabs = X.star_tables(spark, sf_dir, BASE_TABLES)
+    guard = EV.size_guard(P.table_shape_wide(tabs), GUARD_LIMIT)
+    small = guard.where(~F.col("too_large")).select("table_id")
+    md = EV.markdown(C.cells_of(tabs).join(small, "table_id", "left_semi"), ["table_id"])
+    return guard.join(md, "table_id", "left").select("table_id", F.when(
+        F.col("too_large"), F.lit("Error: the table is too large.")).otherwise(F.col("markdown")).alias("context"))
+
+
 @register("table_preview",
           f"""WITH c AS {X.sql_cells(['part', 'customer'])}, s AS (SELECT table_id, max(row_id) + 1 AS n_rows,
   max(col_id) + 1 AS n_cols FROM c GROUP BY table_id)
@@ -147,7 +159,13 @@ def table_preview(spark, sf_dir):
     return EV.preview(C.cells_of(tabs), shape, 6)
 
 
-@register("random_sample")
+@register("random_sample",
+          f"""WITH r AS (SELECT *, row_number() OVER (ORDER BY md5('7:' || CAST(row_id AS VARCHAR)), row_id) AS k
+  FROM {X.sql_wide_rendered('customer')})
+SELECT 'customer' AS table_id, '| {' | '.join(c for c, _ in X.STAR_SCHEMAS['customer'])} |' || chr(10) || '|' ||
+  repeat('---|', {len(X.STAR_SCHEMAS['customer'])}) || chr(10) || '| ' || string_agg({" || ' | ' || ".join(
+      f"coalesce({c}, 'None')" for c, _ in X.STAR_SCHEMAS['customer'])}, ' |' || chr(10) || '| ' ORDER BY row_id) || ' |' AS markdown
+FROM r WHERE k <= 5""")
 def random_sample(spark, sf_dir):
     """5 seeded-random rows of customer, rendered in row order."""
     tabs = X.star_tables(spark, sf_dir, ["customer"])

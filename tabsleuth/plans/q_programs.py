@@ -27,20 +27,18 @@ SQL_EXPAND = f"""WITH cells AS {X.sql_cells(X.DIM_TABLES)}, questions AS {X.SQL_
 t AS (SELECT question_id, list_transform(string_split_regex(trim(question), '\\s+'),
         lambda x: lower(regexp_replace(x, '{_EDGE}', '', 'g'))) AS toks FROM questions),
 g AS (SELECT question_id, i AS pos, n, array_to_string(toks[i + 1:i + n], ' ') AS term
-      FROM (SELECT question_id, toks, unnest(range(0, len(toks))) AS i FROM t), (VALUES (1), (2), (3)) ns(n)
-      WHERE i + n <= len(toks)),
+      FROM (SELECT question_id, toks, i, unnest(range(1, len(toks) - i + 1)) AS n
+            FROM (SELECT question_id, toks, unnest(range(0, len(toks))) AS i FROM t))),
 v AS (SELECT DISTINCT lower(trim(value)) AS term FROM cells WHERE NOT is_numeric AND value IS NOT NULL),
 ch AS (SELECT g.* FROM g SEMI JOIN v USING (term) WHERE term <> '' AND NOT regexp_matches(term,
        '^\\s*[+-]?((\\d(_?\\d)*)(\\.(\\d(_?\\d)*)?)?|\\.\\d(_?\\d)*)([eE][+-]?\\d(_?\\d)*)?\\s*$|^\\s*[+-]?(?i:nan|inf|infinity)\\s*$')),
-cq AS (SELECT question_id, 'cell' AS kind, term AS query, CAST(arg_min(pos * 10 + n, struct_pack(p := pos, n := n)) AS BIGINT)
+cq AS (SELECT question_id, 'cell' AS kind, term AS query, CAST(arg_min(pos * 1000 + n, struct_pack(p := pos, n := n)) AS BIGINT)
        AS query_pos FROM ch GROUP BY question_id, term),
 w AS (SELECT question_id, regexp_replace(w, 's$', '') AS tok, pos FROM (SELECT question_id,
         unnest(regexp_extract_all(lower(question), '[\\p{{L}}\\p{{N}}]+')) AS w,
-        unnest(range(len(regexp_extract_all(lower(question), '[\\p{{L}}\\p{{N}}]+')))) AS pos FROM questions)
-      WHERE length(w) >= 3),
+        unnest(range(len(regexp_extract_all(lower(question), '[\\p{{L}}\\p{{N}}]+')))) AS pos FROM questions)),
 ct AS (SELECT DISTINCT column_name, regexp_replace(t, 's$', '') AS tok FROM (SELECT column_name,
-        unnest(regexp_extract_all(lower(column_name), '[\\p{{L}}\\p{{N}}]+')) AS t FROM (SELECT DISTINCT column_name FROM cells))
-       WHERE length(t) >= 3),
+        unnest(regexp_extract_all(lower(column_name), '[\\p{{L}}\\p{{N}}]+')) AS t FROM (SELECT DISTINCT column_name FROM cells))),
 colq AS (SELECT question_id, 'column' AS kind, column_name AS query, CAST(min(pos) AS BIGINT) AS query_pos
          FROM w JOIN ct USING (tok) GROUP BY question_id, column_name)
 """
@@ -61,9 +59,9 @@ def _sql_prompt(tmpl: str) -> str:
 
 @register("expansion_cache",
           SQL_EXPAND + f""", req AS (
-  SELECT question_id, 'column' AS kind, sha256('v1|column|' || {_sql_prompt(EV.COLUMN_TEMPLATE)} || '|false|builtin')
+  SELECT question_id, 'column' AS kind, sha256('v1|column|' || {_sql_prompt(EV.COLUMN_TEMPLATE)} || '|false|builtin|0|1|None|None')
     AS key FROM questions
-  UNION ALL SELECT question_id, 'cell', sha256('v1|cell|' || {_sql_prompt(EV.CELL_TEMPLATE)} || '|true|builtin')
+  UNION ALL SELECT question_id, 'cell', sha256('v1|cell|' || {_sql_prompt(EV.CELL_TEMPLATE)} || '|true|builtin|0|1|None|None')
     FROM questions),
 n AS (SELECT question_id, kind, count(*) AS n FROM (SELECT * FROM cq UNION ALL SELECT * FROM colq) GROUP BY ALL)
 SELECT r.question_id, r.kind, r.key, (r.kind = 'column' AND coalesce(n.n, 0) > 0) AS from_cache,
@@ -76,7 +74,7 @@ def expansion_cache(spark, sf_dir):
     q = X.supplier_questions(spark, sf_dir)
 
     def compute(miss):
-        e = XP.builtin_expand(q, cells, ["question_id"])
+        e = XP.builtin_expand(q.join(miss.select("question_id").distinct(), "question_id", "left_semi"), cells, ["question_id"])
         lists = (e.groupBy("question_id", "kind")
                  .agg(F.transform(F.sort_array(F.collect_list(F.struct("query_pos", "query"))),
                                   lambda s: s["query"]).alias("queries")))
@@ -203,15 +201,23 @@ def text_embed(spark, sf_dir):
                                                                  F.round("dist", 6).alias("dist"))
 
 
-@register("index_reuse")
+@register("index_reuse",
+          "SELECT lang AS corpus_id, true AS built_first, false AS built_second, lang = 'de' AS built_third, "
+          "CAST(count(*) AS BIGINT) AS n_postings FROM (SELECT DISTINCT lang, doc_id, "
+          "unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS token FROM documents) GROUP BY lang")
 def index_reuse(spark, sf_dir):
-    """BM25 index per language written once under an identity key;
-    a second build finds every identity present and builds nothing."""
+    """BM25 index per language written once under an identity key; a
+    second build finds every identity present and builds nothing; when one
+    corpus changes a text to another one of equal length, only that is rebuilt."""
     from ..operators.retrieve import build_or_reuse
     docs = X.load(spark, sf_dir, "documents").select(
         F.col("lang").alias("corpus_id"), F.col("doc_id").alias("doc_ord"), F.col("text").alias("page_content"))
     root = scratch_path(spark, "index")
-    first = build_or_reuse(docs, "word", root)
-    second = build_or_reuse(docs, "word", root)
-    return (first.select("corpus_id", "index_id", F.col("built").alias("built_first"))
-            .join(second.select("index_id", F.col("built").alias("built_second"), "n_postings"), "index_id"))
+    first = materialize(build_or_reuse(docs, "word", root), "index-first")
+    second = materialize(build_or_reuse(docs, "word", root), "index-second")
+    changed = docs.withColumn("page_content", F.when(F.col("corpus_id") == "de", F.translate("page_content", "e", "a"))
+                              .otherwise(F.col("page_content")))
+    third = materialize(build_or_reuse(changed, "word", root), "index-third")
+    return (first.select("corpus_id", F.col("built").alias("built_first"))
+            .join(second.select("corpus_id", F.col("built").alias("built_second"), "n_postings"), "corpus_id")
+            .join(third.select("corpus_id", F.col("built").alias("built_third")), "corpus_id"))

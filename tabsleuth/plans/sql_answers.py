@@ -38,7 +38,7 @@ def sql_date_parts(x: str) -> tuple[str, str, str, str]:
     return ok, y, m, d
 
 
-def sql_normalize(x: str, passes: int = 4) -> str:
+def sql_normalize(x: str, passes: int = 8) -> str:
     e = f"translate({x}, '‘’´`“”‐‑‒–—−', '''''''\"\"------')"
     for _ in range(passes):
         e = f"regexp_replace(regexp_replace({e}, '^\\s+|\\s+$', '', 'g'), '(?s)^(.+?)((\\[[^\\]]*\\]|\\[\\d+\\]|[•♦†‡*#+])*)$', '\\1')"
