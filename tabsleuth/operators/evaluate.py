@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import answers as A
@@ -52,70 +52,63 @@ def accuracy(per_id: DataFrame) -> DataFrame:
                       F.count(F.lit(1)).alias("n_questions"))
 
 
-DESCRIBE = ("count", "mean", "std", "min", "25%", "50%", "75%", "max")
+QUANTILES = (0.25, 0.5, 0.75)
 
 
-def quartiles(df: DataFrame, col: str, group: Sequence[str] = ()) -> DataFrame:
-    """Exact 25/50/75 % (linear interpolation) of ``col`` per group.
+def _quantile_rows(vals: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys..., q, v): exact quantiles (linear interpolation) of ``_v`` per key.
 
-    ``percentile`` would buffer every distinct value of a group in one
-    task; instead the values are ranked by a distributed sort
-    (group_ordinals) and only the two neighbours of each quantile position
-    are picked and interpolated."""
-    from .cells import group_ordinals
-    g = list(group)
-    vals = df.select(*g, F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    if not g:
-        vals = vals.withColumn("_g", F.lit(0))
-        g = ["_g"]
+    Equal values are counted first (partial aggregation), so a hot value is one
+    row.  The distinct values are range-sorted by (keys, value); running counts
+    are summed inside each partition and shifted by the counts of the key in
+    earlier partitions, so no task holds a key's values."""
     from ..sources.store import materialize
-    # written once: the ranks are read three times (count, low and high neighbours)
-    ranked = materialize(group_ordinals(vals, g, ["_v"], col="_r"), "quantile-ranks")
-    n = ranked.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
-    pos = n.select(*g, F.explode(F.array(*[F.struct(F.lit(q).alias("q"), (F.lit(q) * (F.col("_n") - 1)).alias("h"))
-                                           for q in (0.25, 0.5, 0.75)])).alias("_p"))
-    pos = pos.select(*g, F.col("_p.q").alias("q"), F.col("_p.h").alias("h"),
-                     F.floor("_p.h").cast("long").alias("lo"), F.ceil("_p.h").cast("long").alias("hi"))
-    lo = ranked.select(*g, F.col("_r").alias("lo"), F.col("_v").alias("vlo"))
-    hi = ranked.select(*g, F.col("_r").alias("hi"), F.col("_v").alias("vhi"))
-    out = (pos.join(lo, [*g, "lo"]).join(hi, [*g, "hi"])
-           .select(*g, "q", (F.col("vlo") + (F.col("h") - F.col("lo")) * (F.col("vhi") - F.col("vlo"))).alias("v")))
-    piv = out.groupBy(*g).agg(*[F.max(F.when(F.col("q") == q, F.col("v"))).alias(f"q{int(q * 100)}")
-                                for q in (0.25, 0.5, 0.75)])
-    return piv if list(group) else piv.drop("_g")
+    k = list(keys)
+    n = int(vals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = vals.groupBy(*k, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    placed = materialize(counts.repartitionByRange(n, *k, "_v").withColumn("_p", F.spark_partition_id()), "value-counts")
+    per = placed.groupBy(*k, "_p").agg(F.sum("_c").alias("_s"))
+    earlier = Window.partitionBy(*k).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(*k, "_p", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_before"),
+                     F.sum("_s").over(Window.partitionBy(*k)).alias("_n"))
+    inside = Window.partitionBy(*k, "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = placed.withColumn("_in", F.sum("_c").over(inside)).join(per, [*k, "_p"])
+    ranked = ranked.withColumn("_last", F.col("_before") + F.col("_in") - 1).withColumn("_first", F.col("_last") - F.col("_c") + 1)
+    at = [F.lit(q) * (F.col("_n") - 1) for q in QUANTILES]
+
+    def value_at(rank):
+        return F.max(F.when((F.col("_first") <= rank) & (rank <= F.col("_last")), F.col("_v")))
+    found = ranked.groupBy(*k).agg(F.max("_n").alias("_n"), *[value_at(F.floor(h)).alias(f"_lo{i}") for i, h in enumerate(at)],
+                                   *[value_at(F.ceil(h)).alias(f"_hi{i}") for i, h in enumerate(at)])
+    rows = [F.struct(F.lit(q).alias("q"), (F.col(f"_lo{i}") + (at[i] - F.floor(at[i])) * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias("v"))
+            for i, q in enumerate(QUANTILES)]
+    return found.select(*k, F.inline(F.array(*rows)))
+
+
+def quartiles(df: DataFrame, col: str, group: Sequence[str] = ()) -> DataFrame:
+    """Exact 25/50/75 % (linear interpolation) of ``col`` per group."""
+    g = list(group) or ["_g"]
+    vals = df.withColumn("_g", F.lit(0)).select(*g, F.col(col).cast("double").alias("_v")).where("_v is not null")
+    out = _quantile_rows(vals, g).groupBy(*g).agg(*[F.max(F.when(F.col("q") == q, F.col("v"))).alias(f"q{int(q * 100)}")
+                                                    for q in QUANTILES])
+    return out if group else out.drop("_g")
 
 
 def describe(df: DataFrame, cols: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
     """A5: count, mean, sample std, min, quartiles (linear interpolation), max,
-    one row per (group..., stat) with one column per input column."""
+    one row per (group..., stat) with one column per input column.
+
+    All columns are described in one pass over long (column, value) rows."""
     g = list(group)
-    aggs = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
-                 F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"),
-                 F.max(x).alias(f"{c}__max")]
-    wide = df.groupBy(*g).agg(*aggs) if g else df.agg(*aggs)
-    for c in cols:
-        q = quartiles(df, c, g).select(*g, *[F.col(f"q{p}").alias(f"{c}__q{p}") for p in (25, 50, 75)])
-        if g:
-            wide = wide.join(q, g, "left")
-        else:
-            # one global row: its three quartiles are scalars, added as literals
-            row = q.first()
-            wide = wide.select("*", *[F.lit(None if row is None else row[f"{c}__q{p}"]).cast("double")
-                                      .alias(f"{c}__q{p}") for p in (25, 50, 75)])
-    stacks = []
-    for st in DESCRIBE:
-        row = []
-        for c in cols:
-            v = {"count": F.col(f"{c}__count").cast("double"), "mean": F.col(f"{c}__mean"),
-                 "std": F.col(f"{c}__std"), "min": F.col(f"{c}__min"),
-                 "25%": F.col(f"{c}__q25"), "50%": F.col(f"{c}__q50"), "75%": F.col(f"{c}__q75"),
-                 "max": F.col(f"{c}__max")}[st]
-            row.append(v.alias(c))
-        stacks.append(F.struct(F.lit(st).alias("stat"), *row))
-    return wide.select(*g, F.inline(F.array(*stacks)))
+    long = df.select(*g, F.inline(F.array(*[F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_v")) for c in cols])))
+    v = F.col("_v")
+    simple = {"count": F.count(v).cast("double"), "mean": F.avg(v), "std": F.stddev_samp(v), "min": F.min(v), "max": F.max(v)}
+    wide = long.groupBy(*g, "_col").agg(*[e.alias(f"_{s}") for s, e in simple.items()])
+    stats = wide.select(*g, "_col", F.inline(F.array(*[F.struct(F.lit(s).alias("stat"), F.col(f"_{s}").alias("v")) for s in simple])))
+    q = _quantile_rows(long.where("_v is not null"), [*g, "_col"])
+    stats = stats.unionByName(q.select(*g, "_col", F.concat((F.col("q") * 100).cast("int").cast("string"), F.lit("%")).alias("stat"), "v"))
+    out = stats.groupBy(*g, "stat").agg(*[F.max(F.when(F.col("_col") == c, F.col("v"))).alias(c) for c in cols])
+    return out.select(*g, "stat", *cols)
 
 
 def size_split(per_id: DataFrame, sizes: DataFrame, threshold: int) -> DataFrame:

@@ -10,30 +10,64 @@ table is collected.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.answers import number_print
 
-AGGS = ("count", "sum", "mean", "min", "max", "nunique", "mode", "any", "all")
+AGGS = ("count", "sum", "mean", "min", "max", "nunique", "mode", "any", "all", "argmax", "argmin", "top")
+COMPARISONS = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
+#: Defaults of the optional columns: how the filter compares (=, !=, <, <=, >, >=, contains), the column
+#: that argmax / argmin / top order by, and how many values top lists.
+OPTIONAL = {"filter_op": F.lit("="), "by_col": F.lit(None).cast("string"), "n": F.lit(1).cast("long")}
+
+
+def _filtered(programs: DataFrame, c: DataFrame) -> DataFrame:
+    """Program columns and row_id of the rows that each program's filter keeps."""
+    keep = [x for x in programs.columns if x not in ("filter_col", "filter_value", "filter_op")]
+    whole = programs.where("filter_col is null").join(
+        c.select("table_id", F.col("column_name").alias("target_col"), "row_id"), ["table_id", "target_col"])
+    equal = programs.where("filter_col is not null and filter_op = '='").join(
+        c.select("table_id", F.col("column_name").alias("filter_col"), F.col("value").alias("filter_value"), "row_id"),
+        ["table_id", "filter_col", "filter_value"])
+    # Other comparisons read the filter column once for each program.
+    other = programs.where("filter_col is not null and filter_op <> '='").join(
+        c.select("table_id", F.col("column_name").alias("filter_col"), "row_id", F.col("value").alias("_v"), F.col("num").alias("_x")),
+        ["table_id", "filter_col"])
+    bound = F.col("filter_value").try_cast("double")
+    test = F.when(F.col("filter_op") == "!=", F.col("_v") != F.col("filter_value")).when(
+        F.col("filter_op") == "contains", F.contains(F.lower("_v"), F.lower("filter_value")))
+    for op, compare in COMPARISONS.items():
+        test = test.when(F.col("filter_op") == op, compare(F.col("_x"), bound))
+    test = test.otherwise(F.raise_error(F.concat(F.lit("unknown comparison: "), F.col("filter_op"))).cast("boolean"))
+    parts = [x.select(*keep, "row_id") for x in (whole, equal, other.where(test))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _by_order(rows: DataFrame, c: DataFrame) -> DataFrame:
+    """(program_id, best): target values in the order of another column, the first ``n`` joined by ' | '.
+
+    Rows without a number in that column do not take part; ties go to the earlier row."""
+    by = rows.where(F.col("agg").isin("argmax", "argmin", "top")).join(
+        c.select("table_id", "row_id", F.col("column_name").alias("by_col"), F.col("num").alias("_x")), ["table_id", "row_id", "by_col"])
+    by = by.where("_x is not null and not isnan(_x)").join(
+        c.select("table_id", "row_id", F.col("column_name").alias("target_col"), F.col("value").alias("_t")), ["table_id", "row_id", "target_col"])
+    order = F.when(F.col("agg") == "argmin", F.col("_x")).otherwise(-F.col("_x"))
+    w = Window.partitionBy("program_id").orderBy(order, "row_id")
+    top = by.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= F.when(F.col("agg") == "top", F.col("n")).otherwise(1))
+    return top.groupBy("program_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_r", "_t"))), lambda s: s["_t"]), " | ").alias("best"))
 
 
 def evaluate(programs: DataFrame, cells: DataFrame) -> DataFrame:
-    """programs(program_id, table_id, filter_col, filter_value, agg, target_col)
-    -> (program_id, agg, answer text, n_rows)."""
+    """programs(program_id, table_id, filter_col, filter_value, agg, target_col and the
+    columns of ``OPTIONAL``) -> (program_id, agg, answer text, n_rows)."""
     # An unknown aggregate fails; nothing is answered for it.
     programs = programs.withColumn("agg", F.when(F.col("agg").isin(*AGGS), F.col("agg")).otherwise(
         F.raise_error(F.concat(F.lit("unknown aggregate: "), F.coalesce("agg", F.lit("null")))).cast("string")))
+    for name, default in OPTIONAL.items():
+        programs = programs.withColumn(name, F.coalesce(F.col(name), default) if name in programs.columns else default)
     c = cells.select("table_id", "row_id", "column_name", "value", "num")
-    filt = programs.where(F.col("filter_col").isNotNull())
-    rows_f = (filt.join(c.select("table_id", F.col("column_name").alias("filter_col"),
-                                 F.col("value").alias("filter_value"), "row_id"),
-                        ["table_id", "filter_col", "filter_value"]))
-    whole = programs.where(F.col("filter_col").isNull())
-    rows_w = whole.join(c.select("table_id", F.col("column_name").alias("target_col"), "row_id"),
-                        ["table_id", "target_col"])
-    rows = rows_f.select("program_id", "table_id", "row_id", "agg", "target_col").unionByName(
-        rows_w.select("program_id", "table_id", "row_id", "agg", "target_col"))
+    rows = _filtered(programs, c)
     vals = rows.join(c.select("table_id", "row_id", F.col("column_name").alias("target_col"), "value", "num"),
                      ["table_id", "row_id", "target_col"])
     # mode: a partial count by (program, value), then the most frequent (ties: smallest value)
@@ -53,10 +87,10 @@ def evaluate(programs: DataFrame, cells: DataFrame) -> DataFrame:
               .when(a == "sum", num(F.col("_sum"))).when(a == "mean", num(F.col("_mean")))
               .when(a == "min", num(F.col("_min"))).when(a == "max", num(F.col("_max")))
               .when(a == "nunique", F.col("_nunique").cast("string"))
-              .when(a == "mode", F.col("mode_value"))
+              .when(a == "mode", F.col("mode_value")).when(a.isin("argmax", "argmin", "top"), F.col("best"))
               .when(a == "any", F.when(F.col("_any"), "True").otherwise("False"))
               .when(a == "all", F.when(F.col("_all"), "True").otherwise("False")))
-    out = agg.join(mode, "program_id", "left").select("program_id", "agg", answer.alias("answer"), "n_rows")
+    out = agg.join(mode, "program_id", "left").join(_by_order(rows, c), "program_id", "left").select("program_id", "agg", answer.alias("answer"), "n_rows")
     # programs that matched no row answer 0 / nothing
     empty = programs.join(out.select("program_id"), "program_id", "left_anti").select(
         "program_id", "agg", F.when(F.col("agg").isin("count", "nunique"), F.lit("0")).alias("answer"),

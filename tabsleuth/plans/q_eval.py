@@ -4,10 +4,14 @@ F12-F16, F19, U2, U4, K3-K5)."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import answers as A
+from ..operators import checks as CH
 from ..operators import evaluate as E
+from ..session import scratch_path
+from ..sources import files as FS
 from . import fixtures as X
 from .registry import register
 from .sql_answers import (sql_date_parts, sql_normalize, sql_normalize_answer, sql_number, sql_number_print,
@@ -141,7 +145,9 @@ def finance_format(spark, sf_dir):
     return both.select("c_custkey", A.finance_format(F.col("raw")).alias("formatted"))
 
 
-@register("answer_format")
+@register("answer_format",
+          f"SELECT event_id, CASE event_type WHEN 'click' THEN 'True' WHEN 'view' THEN '[\"a\", ' || {X._sql_rd('value')} || ']' "
+          f"WHEN 'error' THEN '' WHEN 'signup' THEN {X._sql_rd('value')} ELSE event_type END AS response FROM events")
 def answer_format(spark, sf_dir):
     """SC10: parsed JSON answers (bool, list, null, number, text) as response text."""
     e = X.load(spark, sf_dir, "events")
@@ -150,7 +156,7 @@ def answer_format(spark, sf_dir):
           .when(F.col("event_type") == "error", F.lit("null"))
           .when(F.col("event_type") == "signup", F.col("value").cast("string"))
           .otherwise(F.concat(F.lit('" '), F.col("event_type"), F.lit(' "'))))
-    return e.select("event_id", A.format_answer(F.parse_json(js)).alias("response"))
+    return e.select("event_id", A.format_answer(F.parse_json(js), js).alias("response"))
 
 
 # --- votes and accuracy -------------------------------------------------------------
@@ -252,14 +258,14 @@ def run_summary(spark, sf_dir):
     acc = (E.accuracy(per_id).select(F.lit("events").alias("data"), "accuracy")
            .unionByName(split.groupBy(F.concat(F.lit("events-"), F.col("size_class")).alias("data"))
                         .agg(F.avg(F.col("correct").cast("int")).alias("accuracy"))))
-    mrow = means.first()  # one row of three means: scalars
-    return acc.select("data", *[F.round(F.lit(mrow[c]).cast("double"), 6).alias(c)
-                                for c in ("n_iter", "init_prompt_token_count", "total_token_count")],
-                      F.round("accuracy", 6).alias("accuracy"),
-                      *[F.lit(v).alias(k) for k, v in RUN_CONFIG.items()])
+    names = ["n_iter", "init_prompt_token_count", "total_token_count"]
+    both = acc.unionByName(means, allowMissingColumns=True)
+    every = Window.partitionBy()          # the summary's few rows
+    both = both.select("data", "accuracy", *[F.round(F.max(c).over(every), 6).alias(c) for c in names]).where("data is not null")
+    return both.select("data", *names, F.round("accuracy", 6).alias("accuracy"), *[F.lit(v).alias(k) for k, v in RUN_CONFIG.items()])
 
 
-# The run configuration recorded next to the summary (K5).
+# The run configuration recorded next to the summary (K5).
 RUN_CONFIG = {"model_name": "builtin", "embed_model_name": "hashed", "task": "databench", "agent_type": "multi",
               "top_k": 5, "sc": 1, "max_encode_cell": 1000}
 
@@ -354,16 +360,22 @@ def resume_pending(spark, sf_dir):
   UNION ALL SELECT 'order_ids_complete', 0, (SELECT count(*) FROM (SELECT unnest(range(0, (SELECT max(o_orderkey) + 1
          FROM orders))) AS k) r ANTI JOIN orders o ON o.o_orderkey = r.k)
   UNION ALL SELECT 'lines_have_orders', 0, (SELECT count(*) FROM lineitem l ANTI JOIN orders o ON o.o_orderkey = l.l_orderkey)
-  UNION ALL SELECT 'records_match_questions', (SELECT count(DISTINCT l_orderkey) FROM lineitem),
-         (SELECT count(*) FROM (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey))
+  UNION ALL SELECT 'records_match_questions', (SELECT count(*) FROM orders),
+         (SELECT count(DISTINCT l_orderkey) FROM lineitem)
   UNION ALL SELECT 'question_sets_equal', 0, (SELECT count(*) FROM (
          SELECT DISTINCT l_orderkey FROM lineitem l ANTI JOIN orders o ON o.o_orderkey = l.l_orderkey)) +
          (SELECT count(*) FROM orders o ANTI JOIN lineitem l ON l.l_orderkey = o.o_orderkey))
 SELECT check_name, CAST(expected AS BIGINT) AS expected, CAST(actual AS BIGINT) AS actual, expected = actual AS ok FROM c""")
 def checks(spark, sf_dir):
     """Existence, uniqueness and completeness assertions."""
-    from ..operators.checks import run_checks
-    return run_checks(spark, sf_dir)
+    o, li = X.load(spark, sf_dir, "orders"), X.load(spark, sf_dir, "lineitem")
+    s, p = X.load(spark, sf_dir, "supplier"), X.load(spark, sf_dir, "part")
+    records = li.agg(F.count_distinct("l_orderkey").alias("v"))
+    return CH.run([CH.unique("unique_order_ids", o, "o_orderkey"), CH.exists("candidates_exist", li, s, "l_suppkey", "s_suppkey"),
+                   CH.exists("parts_exist", li, p, "l_partkey", "p_partkey"), CH.complete("order_ids_complete", o, "o_orderkey"),
+                   CH.exists("lines_have_orders", li, o, "l_orderkey", "o_orderkey"),
+                   CH.check("records_match_questions", CH.count_of(o), records),
+                   CH.same_set("question_sets_equal", li, o, "l_orderkey", "o_orderkey")])
 
 
 @register("missing_ids",
@@ -375,3 +387,24 @@ def missing_ids(spark, sf_dir):
     n = o.agg(F.max("o_orderkey")).collect()[0][0] + 1
     present = X.load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("ord")).distinct()
     return E.missing_ids(present, int(n))
+
+
+@register("responses_sink",
+          "SELECT line, count(*) AS n FROM (SELECT coalesce(regexp_replace(regexp_replace(answer, '[\\r\\n]', ' ', 'g'), "
+          f"'^\\s+|\\s+$', '', 'g'), '') AS line FROM {R} WHERE sc_id = 0) GROUP BY line")
+def responses_sink(spark, sf_dir):
+    """The answer lines written in question order and read back."""
+    path = scratch_path(spark, "responses")
+    FS.write_responses(E.responses(X.results(spark, sf_dir), 0), path)
+    return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("usage_sink",
+          "SELECT CAST(sum(coalesce(input_token_count, 0)) AS BIGINT) AS input_tokens, CAST(sum(coalesce(output_token_count, 0)) AS BIGINT) "
+          "AS output_tokens, CAST(sum(coalesce(total_token_count, coalesce(input_token_count, 0) + coalesce(output_token_count, 0))) AS BIGINT) "
+          f"AS total_tokens, count(*) AS n_records FROM {R}")
+def usage_sink(spark, sf_dir):
+    """K4: the token usage summary written and read back."""
+    path = scratch_path(spark, "usage")
+    FS.write_usage(E.token_rollup(X.results(spark, sf_dir)), path)
+    return spark.read.schema("input_tokens long, output_tokens long, total_tokens long, n_records long").json(path)

@@ -153,6 +153,32 @@ def programs(spark, sf_dir):
     return PG.evaluate(programs_frame(spark, sf_dir), cells)
 
 
+RANKED = [("rich", "customer", "c_mktsegment", "BUILDING", "=", "top", "c_name", "c_acctbal", 3),
+          ("poorest", "customer", None, None, "=", "argmin", "c_name", "c_acctbal", 1),
+          ("dearest", "part", "p_size", "25", "<=", "argmax", "p_name", "p_retailprice", 1),
+          ("in_debt", "customer", "c_acctbal", "0", "<", "count", "c_custkey", None, 1),
+          ("not_f", "orders", "o_orderstatus", "F", "!=", "count", "o_orderkey", None, 1),
+          ("brass", "part", "p_type", "brass", "contains", "max", "p_size", None, 1)]
+
+
+@register("programs_ranked",
+          f"""SELECT 'rich' AS program_id, 'top' AS agg, (SELECT string_agg(c_name, ' | ' ORDER BY c_acctbal DESC, c_custkey) FROM (
+  SELECT * FROM customer WHERE c_mktsegment = 'BUILDING' ORDER BY c_acctbal DESC, c_custkey LIMIT 3)) AS answer,
+  (SELECT count(*) FROM customer WHERE c_mktsegment = 'BUILDING') AS n_rows
+UNION ALL SELECT 'poorest', 'argmin', (SELECT c_name FROM customer ORDER BY c_acctbal, c_custkey LIMIT 1), (SELECT count(*) FROM customer)
+UNION ALL SELECT 'dearest', 'argmax', (SELECT p_name FROM part WHERE p_size <= 25 ORDER BY p_retailprice DESC, p_partkey LIMIT 1),
+  (SELECT count(*) FROM part WHERE p_size <= 25)
+UNION ALL SELECT 'in_debt', 'count', CAST(count(*) AS VARCHAR), count(*) FROM customer WHERE c_acctbal < 0
+UNION ALL SELECT 'not_f', 'count', CAST(count(*) AS VARCHAR), count(*) FROM orders WHERE o_orderstatus <> 'F'
+UNION ALL SELECT 'brass', 'max', CAST(max(p_size) AS VARCHAR), count(*) FROM part WHERE lower(p_type) LIKE '%brass%'""")
+def programs_ranked(spark, sf_dir):
+    """L4: comparison filters, top n, arg-max and arg-min."""
+    cells = C.cells_of(X.star_tables(spark, sf_dir, ["customer", "part", "orders"]))
+    pf = spark.createDataFrame(RANKED, "program_id string, table_id string, filter_col string, filter_value string, filter_op string, "
+                                       "agg string, target_col string, by_col string, n long")
+    return PG.evaluate(pf, cells)
+
+
 # --- L3 ---------------------------------------------------------------------------
 
 def scripted_model(batches):
