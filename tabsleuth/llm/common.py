@@ -49,3 +49,23 @@ def doc_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     t = F.coalesce(F.col(text_col), F.lit(""))
     return F.struct(F.coalesce(F.col(id_col), F.lit(-(2 ** 63))).cast("long").alias("id"),
                     F.xxhash64(t).alias("h1"), F.xxhash64(F.lit("b"), t).alias("h2"))
+
+
+def perhaps_among(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str, slot_bits: int = 24) -> DataFrame:
+    """Rows of ``df`` whose key may occur in ``wanted``, before an exact join.
+
+    A bit map of fixed size (2 MB by default, whatever the input) is broadcast,
+    so that texts without a partner stay where they are.  With more keys than
+    it can tell apart it lets more rows through, never fewer."""
+    def slot(c):
+        return F.pmod(F.xxhash64(c), F.lit(1 << slot_bits)) + 1
+    maps = (wanted.select(slot(wanted_key).alias("s"))
+            .groupBy(F.bitmap_bucket_number("s").alias("__bucket"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("__map")))
+    columns = df.columns
+    at = F.bitmap_bit_position("__slot")
+    byte = F.conv(F.hex(F.substring(F.col("__map"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return (df.withColumn("__slot", slot(key)).withColumn("__bucket", F.bitmap_bucket_number("__slot"))
+            .join(F.broadcast(maps), "__bucket")
+            .where(byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0)
+            .select(*[F.col(f"`{c}`") for c in columns]))

@@ -56,7 +56,7 @@ def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: float) -> Da
 
 
 def _packer(rows: int):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         block, dim = int(key[0]), int(key[1])
         out = []
         pdf = pdf.sort_values("id", kind="stable")

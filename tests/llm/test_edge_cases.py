@@ -6,7 +6,7 @@ from tabsleuth.llm import imatch, langid, lines, mixing, neardup, packing, subst
 from tabsleuth.session import ship_package
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, h1 long, node string, draw int, kept int"
-LONG = " ".join(f"word{i % 977} thing{i % 31}" for i in range(30_000))
+LONG = " ".join(f"word{i % 97} thing{i % 31}" for i in range(30_000))
 
 
 @pytest.fixture(scope="module")
