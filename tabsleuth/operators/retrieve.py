@@ -120,7 +120,7 @@ def union_ordered(hits: DataFrame, keys: Sequence[str], doc: str = "result_text"
     """
     g = [*keys, doc]
     first = hits.groupBy(*g).agg(F.min(F.struct("query_pos", "rank")).alias("first"))
-    w = Window.partitionBy(*keys).orderBy("first")
+    w = Window.partitionBy(*keys).orderBy("first", doc)       # queries at one position: by document
     return first.withColumn("ord", F.row_number().over(w)).drop("first")
 
 

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..operators import cells as C
 from ..operators import evidence as EV
+from ..operators import expand as XP
 from ..operators import profile as P
 from ..operators import retrieve as R
 from . import fixtures as X
-from .flagship import plan, sql_plan_ctes
+from .flagship import TOP_K, plan, sql_plan_ctes
 from .registry import register
 
 SQL_UNION = """, u AS (SELECT question_id, table_id, data_type, result_text, row_number() OVER
@@ -45,6 +46,38 @@ def evidence_text(spark, sf_dir):
     return evidence_frame(spark, sf_dir)[2]
 
 
+def _sql_chain() -> str:
+    """The plan's CTEs with expanded queries instead of the question's words."""
+    from .q_programs import SQL_EXPAND
+    steps = SQL_EXPAND[SQL_EXPAND.index("t AS (SELECT question_id, list_transform"):].rstrip()
+    ctes = sql_plan_ctes()
+    at = ctes.index("pq AS (")
+    ctes = ctes[:at] + steps + """,
+ex AS (SELECT question_id, CASE kind WHEN 'column' THEN 'schema' ELSE 'cell' END AS kind, query, query_pos
+       FROM (SELECT * FROM cq UNION ALL SELECT * FROM colq)),
+""" + ctes[at:]
+    ctes = ctes.replace("k.kind", "qs.kind").replace(
+        "FROM qs JOIN cand c USING (question_id) CROSS JOIN (VALUES ('schema'), ('cell')) k(kind))", "FROM ex qs JOIN cand c USING (question_id))")
+    union = SQL_UNION.replace("ORDER BY min_pos, min_rank)", "ORDER BY min_pos, min_rank, result_text)").replace(
+        "ql AS (SELECT question_id, string_agg(query, ', ' ORDER BY query_pos) AS qlist FROM qs GROUP BY question_id)",
+        "ql AS (SELECT question_id, string_agg(query, ', ' ORDER BY query_pos, query) FILTER (kind = 'schema') AS sq, "
+        "string_agg(query, ', ' ORDER BY query_pos, query) FILTER (kind = 'cell') AS cl FROM ex GROUP BY question_id)").replace(
+        "'Schema Retrieval Queries: ' || coalesce(ql.qlist, '')", "'Schema Retrieval Queries: ' || coalesce(ql.sq, '')").replace(
+        "'Cell Retrieval Queries: ' || coalesce(ql.qlist, '')", "'Cell Retrieval Queries: ' || coalesce(ql.cl, '')")
+    return ctes + union
+
+
+@register("expanded_evidence", _sql_chain() + "SELECT * FROM ev")
+def expanded_evidence(spark, sf_dir):
+    """Expansion, retrieval of column queries in schemas and of cell
+    queries in cells, ordered union, evidence text."""
+    p = plan(spark, sf_dir)
+    q = XP.builtin_expand(p["questions"], p["cells"], ["question_id"])
+    h = R.retrieve(q, p["candidates"], p["docs"], ["question_id"], k=TOP_K, index=p["index"])
+    u = R.union_ordered(h, ["question_id", "table_id", "data_type"])
+    return EV.evidence(u, q, p["candidates"], ["question_id"])
+
+
 @register("retrieved_docs_map",
           sql_plan_ctes() + SQL_UNION + """SELECT u.question_id, 'df' || CAST(c.rank AS VARCHAR) AS df_name,
   u.data_type, string_agg(u.result_text, chr(10) ORDER BY u.ord) AS docs

@@ -137,3 +137,20 @@ def test_catalog_ids(spark, tmp_path):
 def test_package_reaches_workers(spark):
     got = spark.createDataFrame([("é",)], "t string").select(A.normalize(F.col("t"))).first()[0]
     assert got == "e"
+
+
+def test_missing_record_fails(spark):
+    q = spark.createDataFrame([(1,), (2,)], "q int")
+    r = spark.createDataFrame([(1, '["A"]')], "q int, record string")
+    assert CD.with_records(q, r, ["q"], strict=False).count() == 1
+    with pytest.raises(Exception, match="no retrieval record for question 2"):
+        CD.with_records(q, r, ["q"]).collect()
+
+
+def test_dense_ties_and_dimensions(spark):
+    from tabsleuth.operators.dense import dense_top_k
+    d = spark.createDataFrame([(i, "c", [1.0, 0.0]) for i in range(6)] + [(9, "c", [1.0, 0.1]), (10, "x", [1.0, 0.0]), (11, "c", [1.0])],
+                              "doc_id long, corpus_id string, vec array<double>")
+    q = spark.createDataFrame([(1, "c", [1.0, 0.0]), (2, "none", [1.0, 0.0])], "query_id long, corpus_id string, vec array<double>")
+    got = [(r.query_id, r.rank, r.doc_id, round(r.dist, 9)) for r in dense_top_k(q, d, 3).orderBy("rank").collect()]
+    assert got == [(1, 1, 0, 0.0), (1, 2, 1, 0.0), (1, 3, 2, 0.0)]
