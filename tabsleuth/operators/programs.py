@@ -19,7 +19,7 @@ AGGS = ("count", "sum", "mean", "min", "max", "nunique", "mode", "any", "all", "
 COMPARISONS = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
 #: Defaults of the optional columns: how the filter compares (=, !=, <, <=, >, >=, contains), the column
 #: that argmax / argmin / top order by, and how many values top lists.
-OPTIONAL = {"filter_op": F.lit("="), "by_col": F.lit(None).cast("string"), "n": F.lit(1).cast("long")}
+OPTIONAL = {"filter_op": ("=", "string"), "by_col": (None, "string"), "n": (1, "long")}
 
 
 def _filtered(programs: DataFrame, c: DataFrame) -> DataFrame:
@@ -64,7 +64,8 @@ def evaluate(programs: DataFrame, cells: DataFrame) -> DataFrame:
     # An unknown aggregate fails; nothing is answered for it.
     programs = programs.withColumn("agg", F.when(F.col("agg").isin(*AGGS), F.col("agg")).otherwise(
         F.raise_error(F.concat(F.lit("unknown aggregate: "), F.coalesce("agg", F.lit("null")))).cast("string")))
-    for name, default in OPTIONAL.items():
+    for name, (value, kind) in OPTIONAL.items():
+        default = F.lit(value).cast(kind)
         programs = programs.withColumn(name, F.coalesce(F.col(name), default) if name in programs.columns else default)
     c = cells.select("table_id", "row_id", "column_name", "value", "num")
     rows = _filtered(programs, c)

@@ -112,7 +112,7 @@ def test_programs_count_values_and_unknown_fails(spark):
     got = PG.evaluate(spark.createDataFrame([("p", "t", "k", "a", "count", "v")], schema), cells).first()
     assert got.answer == "2"
     with pytest.raises(Exception, match="unknown aggregate"):
-        PG.evaluate(spark.createDataFrame([("p", "t", "k", "a", "argmax", "v")], schema), cells).collect()
+        PG.evaluate(spark.createDataFrame([("p", "t", "k", "a", "median", "v")], schema), cells).collect()
 
 
 def test_expansion_finds_long_values(spark):
