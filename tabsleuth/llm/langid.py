@@ -148,9 +148,12 @@ def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, slot_bits: int = SLOT
     """``docs``: text and lang.  The sample of a language is its rows of smallest hash."""
     spark = docs.sparkSession
     d = docs.select("text", F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
+    d = d.withColumn("__h", F.xxhash64("text"))
     first = Window.partitionBy("lang").orderBy("__h")
-    d = (d.withColumn("__h", F.xxhash64("text")).withColumn("__n", F.row_number().over(first))
-         .where(F.col("__n") <= sample_rows).select("text", "lang"))
+    last = (d.select("lang", "__h").withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= sample_rows)
+            .groupBy(F.col("lang").alias("__lang")).agg(F.max("__h").alias("__last")))
+    # A row per language tells which texts are in the sample; texts stay where they are.
+    d = d.join(F.broadcast(last), (F.col("lang") == F.col("__lang")) & (F.col("__h") <= F.col("__last"))).select("text", "lang")
     sizes = {r["lang"]: r["n"] for r in d.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}   # a row per language
     langs = sorted(sizes)
     if not langs:
