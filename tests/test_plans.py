@@ -7,13 +7,13 @@ SF = "/root/testdata/sf0.001"
 # Queries whose only join keys fold to constants (a single table or corpus,
 # or the three-row template dimension): the remaining nested-loop joins
 # broadcast one to three rows.
-SMALL_CONSTANT_JOINS = {"context_by_baseline", "outer_table_retrieval", "prompt_fill", "random_sample",
-                        "row_col_sample"}
+SMALL_CONSTANT_JOINS = {"context_by_baseline", "context_guard", "outer_table_retrieval", "prompt_fill", "prompt_guard",
+                        "random_sample", "row_col_sample"}
 
 
 def _names():
-    import __spark_entry__ as E
-    return sorted(E.queries())
+    from tabsleuth.plans.all import QUERIES
+    return sorted(QUERIES)
 
 
 @pytest.mark.parametrize("name", _names())
