@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_key, materialize
+from .common import doc_key, materialize, perhaps_among
 
 #: Shorter lines only go as exact copies: one edit is too much of them.
 MIN_FUZZY = 20
@@ -163,8 +163,8 @@ def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     """``at`` of the lines that an earlier line is within one edit of."""
     keyed = firsts.where("halves is not null").select("h1", "at", F.explode("halves").alias("k"))
     some = materialize(_shared(keyed).select("h1", "at").distinct(), "lines-halves")
-    wanted = some.groupBy(F.col("at.key").alias("key")).agg(F.collect_list("at.line_no").alias("wanted"))
-    texts = _exploded(docs.join(wanted, "key").select("key", "text"))
+    wanted = some.select("at.key").distinct()
+    texts = _exploded(perhaps_among(docs, "key", wanted, "key").join(wanted, "key", "left_semi"))
     texts = (texts.select("line", F.xxhash64("line").alias("h1"), F.struct("key", "line_no").alias("at"))
              .join(some, ["h1", "at"], "left_semi").dropDuplicates(["at"]))
     texts = materialize(texts, "lines-texts")
