@@ -1,6 +1,6 @@
 """Language identification with language-bitmask n-gram filters.
 
-Learning: of a bounded sample of labelled documents, character trigrams
+Learning: of a bounded sample of different labelled texts, character trigrams
 (letters, lower case, runs of anything else as one blank) are counted per
 language.  A trigram belongs to every language whose documents contain it at
 least ``KEEP`` times as often as those of the language where it is commonest.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import held_out
 from .words import mix64
 
-#: Documents learned from, of each language: the bound of the sample.
+#: Different texts learned from, of each language: the bound of the sample.
 SAMPLE_ROWS = 3000
 SLOT_BITS = 20
 HASHES = 2
@@ -145,19 +145,21 @@ class Filter:
 
 
 def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, slot_bits: int = SLOT_BITS) -> Filter:
-    """``docs``: text and lang.  The sample of a language is its rows of smallest hash."""
+    """``docs``: text and lang.  The sample of a language is its texts of smallest hash; copies of a text count once."""
     spark = docs.sparkSession
     d = docs.select("text", F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
     d = d.withColumn("__h", F.xxhash64("text"))
     first = Window.partitionBy("lang").orderBy("__h")
-    last = (d.select("lang", "__h").withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= sample_rows)
-            .groupBy(F.col("lang").alias("__lang")).agg(F.max("__h").alias("__last")))
-    # A row per language tells which texts are in the sample; texts stay where they are.
-    d = d.join(F.broadcast(last), (F.col("lang") == F.col("__lang")) & (F.col("__h") <= F.col("__last"))).select("text", "lang")
-    sizes = {r["lang"]: r["n"] for r in d.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}   # a row per language
+    sample = (d.select("lang", "__h").dropDuplicates().withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= sample_rows)
+              .groupBy("lang").agg(F.max("__h").alias("last"), F.count(F.lit(1)).alias("n")).collect())   # a row per language
+    sizes = {r["lang"]: r["n"] for r in sample}
     langs = sorted(sizes)
     if not langs:
         return Filter([], np.zeros((1, 1 << slot_bits), np.uint64), 0)
+    # A row per language tells which texts are in the sample; the other texts stay where they are.
+    last = spark.createDataFrame([(r["lang"], r["last"]) for r in sample], "__lang string, __last long")
+    d = (d.join(F.broadcast(last), (F.col("lang") == F.col("__lang")) & (F.col("__h") <= F.col("__last")))
+         .dropDuplicates(["lang", "__h"]).select("text", "lang"))
     n_words = -(-len(langs) // 64)
     grams = (d.mapInPandas(_count, "lang string, gram long, docs long").groupBy("lang", "gram").agg(F.sum("docs").alias("docs"))
              .where(F.col("docs") >= MIN_DOCS))

@@ -1,11 +1,12 @@
-"""Bounded samples: thresholds by the odds of all labels."""
+"""Bounded samples: thresholds by the odds of all labels, texts that count once."""
 
 import random
 
 import numpy as np
 import pytest
 
-from tabsleuth.llm import toxicity
+from tabsleuth.llm import langid, toxicity
+from tabsleuth.session import ship_package
 
 
 class _Read:
@@ -46,3 +47,18 @@ def test_weighted_threshold_is_that_of_repeated_rows():
     r = np.random.default_rng(5)
     s, y, w = r.random(200).round(2), r.integers(0, 2, 200), r.integers(1, 6, 200)
     assert toxicity.best_threshold(s, y, w) == toxicity.best_threshold(np.repeat(s, w), np.repeat(y, w))
+
+
+@pytest.mark.parametrize("sample_rows", [60, 1000])
+def test_language_sample_counts_copies_once(spark, sample_rows):
+    """Thousands of copies of the text of smallest hash change nothing that is learned."""
+    ship_package(spark)
+    rng = random.Random(9)
+    words = {"en": "the and of with that this from have water stone".split(), "de": "der und von mit dass dies vom haben wasser stein".split()}
+    rows = [(" ".join(rng.choice(words[x]) for _ in range(12)), x) for x in words for _ in range(150)]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    hot = docs.where("lang = 'en'").selectExpr("min_by(text, xxhash64(text)) t").first().t
+    copies = spark.range(3000).selectExpr("'%s' text" % hot, "'en' lang")
+    alone, among = (langid.learn(d, sample_rows) for d in (docs, docs.unionByName(copies)))
+    assert alone.langs == among.langs == ["de", "en"] and alone.common == among.common
+    assert alone.words.any() and np.array_equal(alone.words, among.words)
