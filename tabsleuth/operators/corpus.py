@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.render import json_string
-from .cells import group_ordinals
+from .cells import group_ordinals, ordered_text
 from .profile import numeric_json, numeric_profile, top_values, value_counts
 
 
@@ -100,13 +100,8 @@ def row_docs_wide(df: DataFrame, table_id: str, budget: int | None = None) -> Da
 def column_docs(cells: DataFrame) -> DataFrame:
     """All values of a column joined by ``|`` in row order, doc_ord = col_id.
 
-    A document is one text, so a whole column meets in one task; under a budget
-    (D2) that is at most B/2/ncols values.
-    """
-    return (cells.withColumn("_v", F.coalesce("value", _placeholder()))
-            .groupBy("table_id", "col_id")
-            .agg(F.sort_array(F.collect_list(F.struct("row_id", "_v"))).alias("_c"))
-            .select("table_id", F.col("col_id").alias("doc_ord"),
-                    F.array_join(F.transform("_c", lambda s: s["_v"]), "|").alias("page_content"),
-                    "col_id"))
-
+    A column of more than ``cells.WHOLE_BYTES`` stays in ordered ``part`` rows
+    (see `ordered_text`); the column ``part`` is there only if one is."""
+    v = cells.withColumn("_v", F.coalesce("value", _placeholder()))
+    docs = ordered_text(v, ["table_id", "col_id"], "row_id", "_v", "|").withColumnRenamed("text", "page_content")
+    return docs.select("table_id", F.col("col_id").alias("doc_ord"), "page_content", "col_id", *[c for c in docs.columns if c == "part"])

@@ -3,8 +3,8 @@ K7, L5, D1, D4).
 
 Texts are assembled per (question, candidate table) and then per question
 with ordered aggregates; every group is bounded by candidate_k x queries x
-top_k documents, or (for whole-table contexts) by the size guard F9 that is
-checked on the table shape before any text is built.
+top_k documents.  Whole-table contexts are joined chunk by chunk, and the size
+guard F9 is checked on the table shape before any text is built.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.parse import fill_template
 from ..functions.text import token_count
+from .cells import ordered_text
 
 # Layout of an evidence section.
 RULE = "=" * 72
@@ -123,18 +124,23 @@ def prompts(requests: DataFrame, tmpl: DataFrame, fields: Sequence[str], limit:
 
 
 def markdown(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """K7: a pipe table per key (header, rule, rows in row order)."""
+    """K7: a pipe table per key (header, rule, rows in row order).
+
+    A table of more than ``cells.WHOLE_BYTES`` stays in ordered ``part`` rows
+    (see `ordered_text`), the header in the first; lines end parts, so a line
+    break joins them.  The column ``part`` is there only if one is so large."""
     k = list(keys)
     hdr = (cells.select(*k, "col_id", "column_name").distinct()
            .groupBy(*k).agg(_ordered_join("column_name", "col_id", " | ").alias("_h"),
                             F.count(F.lit(1)).alias("_nc")))
     rows = (cells.withColumn("_v", F.coalesce("value", F.lit("None")))
-            .groupBy(*k, "row_id").agg(_ordered_join("_v", "col_id", " | ").alias("_r")))
-    body = rows.groupBy(*k).agg(_ordered_join("_r", "row_id", " |\n| ").alias("_b"))
-    return hdr.join(body, k, "left").select(*k, F.concat(
-        F.lit("| "), F.col("_h"), F.lit(" |\n|"), F.array_join(F.array_repeat(F.lit("---|"), F.col("_nc").cast("int")), ""),
-        F.when(F.col("_b").isNotNull(), F.concat(F.lit("\n| "), F.col("_b"), F.lit(" |"))).otherwise(F.lit(""))
-    ).alias("markdown"))
+            .groupBy(*k, "row_id").agg(F.concat(F.lit("| "), _ordered_join("_v", "col_id", " | "), F.lit(" |")).alias("_r")))
+    body = ordered_text(rows, k, "row_id", "_r", "\n")
+    part = [c for c in body.columns if c == "part"]
+    top = F.concat(F.lit("| "), F.col("_h"), F.lit(" |\n|"), F.array_join(F.array_repeat(F.lit("---|"), F.col("_nc").cast("int")), ""))
+    if part:
+        top = F.when(F.col("part") == 0, top)
+    return hdr.join(body, k, "left").select(*k, F.concat_ws("\n", top, "text").alias("markdown"), *part)
 
 
 def size_guard(shape: DataFrame, limit: int, k: int | None = None) -> DataFrame:

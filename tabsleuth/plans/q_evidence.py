@@ -156,13 +156,13 @@ SELECT table_id, 'full' AS agent_type, markdown AS context FROM md UNION ALL SEL
 def context_by_baseline(spark, sf_dir):
     """Whole-table and schema-info contexts."""
     cells = C.cells_of(X.star_tables(spark, sf_dir, BASE_TABLES))
-    full = EV.markdown(cells, ["table_id"]).select("table_id", F.lit("full").alias("agent_type"), F.col("markdown").alias("context"))
+    full = EV.markdown(cells, ["table_id"]).withColumnRenamed("markdown", "context").withColumn("agent_type", F.lit("full"))
     ci = P.column_info(cells)
     line = F.concat(F.col("column_name"), F.lit(": "), F.col("dtype"), F.lit(", "),
                     F.col("non_null").cast("string"), F.lit(" non-null"))
     info = (ci.withColumn("_l", line).groupBy("table_id")
             .agg(EV._ordered_join("_l", "col_id", "\n").alias("context")))
-    return full.unionByName(info.select("table_id", F.lit("schema").alias("agent_type"), "context"))
+    return full.unionByName(info.select("table_id", F.lit("schema").alias("agent_type"), "context"), allowMissingColumns=True)
 
 
 @register("context_guard",
@@ -175,7 +175,8 @@ def context_guard(spark, sf_dir):
     small = guard.where(~F.col("too_large")).select("table_id")
     md = EV.markdown(C.cells_of(tabs).join(small, "table_id", "left_semi"), ["table_id"])
     return guard.join(md, "table_id", "left").select("table_id", F.when(
-        F.col("too_large"), F.lit("Error: the table is too large.")).otherwise(F.col("markdown")).alias("context"))
+        F.col("too_large"), F.lit("Error: the table is too large.")).otherwise(F.col("markdown")).alias("context"),
+        *[c for c in md.columns if c == "part"])
 
 
 @register("table_preview",
