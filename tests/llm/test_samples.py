@@ -43,20 +43,6 @@ def test_thresholds_keep_the_odds_of_all_labels(spark, read_scores):
     assert {x: abs(part.by_lang[x] - t) < 0.06 for x, t in whole.by_lang.items()} == {"en": True, "de": True}
 
 
-def test_label_samples_hold_different_texts(spark):
-    """Copies of the toxic text of smallest hash do not crowd out the other toxic texts; all rows still count."""
-    docs = spark.range(4000).selectExpr("id doc_id", "concat('text ', id) text", "'en' lang")
-    toxic = docs.where("doc_id % 4 = 0")
-    hot = toxic.selectExpr("min_by(text, xxhash64(text)) t").first().t
-    docs = docs.unionByName(spark.range(4000, 8000).selectExpr("id doc_id", f"'{hot}' text", "'en' lang"))
-    labels = docs.selectExpr("doc_id", "int(doc_id % 4 = 0 or doc_id >= 4000) toxic")
-    rows, counts = toxicity._labelled(docs, labels, 50)
-    assert rows.groupby(["toxic", "calibrate"])["text"].nunique().tolist() == [50] * 4
-    assert len(rows) == 200 and (rows["text"] == hot).sum() <= 2
-    held = docs.where("crc32(cast(string(doc_id) as binary)) % 4 = 2").count()
-    assert sum(r["count"] for r in counts) == docs.count() - held
-
-
 def test_weighted_threshold_is_that_of_repeated_rows():
     r = np.random.default_rng(5)
     s, y, w = r.random(200).round(2), r.integers(0, 2, 200), r.integers(1, 6, 200)
