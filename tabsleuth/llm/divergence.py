@@ -30,6 +30,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,15 +55,14 @@ def _count_terms(batches):
     size = 0
 
     def flush():
-        parts = []
         for (lang, source), (n, df) in held.items():
-            parts.append(pd.DataFrame({"lang": lang, "source": source, "term": [w.decode() for w in n],
-                                       "n": np.fromiter(n.values(), np.int64, len(n)),
-                                       "df": np.fromiter((df[w] for w in n), np.int64, len(n))}))
+            yield pa.RecordBatch.from_arrays(
+                [pa.repeat(lang, len(n)), pa.repeat(source, len(n)), pa.array([w.decode() for w in n], pa.string()),
+                 pa.array(n.values(), pa.int64(), size=len(n)), pa.array((df[w] for w in n), pa.int64(), size=len(n))],
+                names=["lang", "source", "term", "n", "df"])
         held.clear()
-        return pd.concat(parts)
     for b in batches:
-        for lang, source, text in zip(b["lang"], b["source"], b["text"]):
+        for lang, source, text in zip(*(b.column(c).to_pylist() for c in ("lang", "source", "text"))):
             words = text.encode().translate(_TERM_BYTES).split()
             if not words:
                 continue
@@ -72,10 +72,9 @@ def _count_terms(batches):
             df.update(set(words))
             size += len(n) - before
             if size >= FLUSH:
-                yield flush()
+                yield from flush()
                 size = 0
-    if held:
-        yield flush()
+    yield from flush()
 
 
 def _share_column(n: Column, total: Column, vocabulary: Column) -> Column:
@@ -121,7 +120,9 @@ def _cell(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
             a.extend([names[at]] * len(against))
             b.extend(names[against])
             value.append(np.abs(shares[against] - shares[at]).sum(axis=1))
-    return pd.DataFrame({"lang": [lang] * len(a), "a": a, "b": b, "value": np.concatenate(value) if value else np.zeros(0, np.int64)})
+    out = pd.DataFrame({"lang": pd.Series([lang] * len(a), dtype=object), "a": pd.Series(a, dtype=object), "b": pd.Series(b, dtype=object)})
+    out["value"] = np.concatenate(value) if value else np.zeros(0, np.int64)
+    return out
 
 
 def _blocks(n: Column, size: int) -> Column:
@@ -139,7 +140,7 @@ class Audit:
 
     def __init__(self, docs: DataFrame, min_docs: int = MIN_DOCS, terms_per_block: int = TERMS, groups_per_block: int = GROUPS):
         d = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-        counted = materialize(d.mapInPandas(_count_terms, "lang string, source string, term string, n long, df long")
+        counted = materialize(d.mapInArrow(_count_terms, "lang string, source string, term string, n long, df long")
                               .groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df")), "audit-counts")
         kept = materialize(counted.groupBy("lang", "term").agg(F.sum("df").alias("df"), F.sum("n").alias("lang_n"))
                            .where(F.col("df") >= min_docs).drop("df"), "audit-kept")
