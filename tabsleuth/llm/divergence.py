@@ -42,6 +42,8 @@ SMOOTH = 5
 TERMS = 1024
 GROUPS = 64
 TOP_TERMS = 50
+#: Rows up to which a table with a row for each language is broadcast.
+LANGUAGES = 100_000
 #: Distinct (group, term) pairs that a task holds before it passes them on.
 FLUSH = 300_000
 
@@ -129,6 +131,12 @@ def _blocks(n: Column, size: int) -> Column:
     return F.greatest(F.lit(1), F.ceil(n / F.lit(size))).cast("int")
 
 
+def _beside(df: DataFrame) -> DataFrame:
+    """A table with a row for each language, to be joined with rows of which one language may hold
+    most: broadcast if it has at most ``LANGUAGES`` rows, else as it is."""
+    return F.broadcast(df) if df.count() <= LANGUAGES else df
+
+
 def _block_of(name: str, blocks: Column) -> Column:
     return F.pmod(F.xxhash64(F.col(name)), blocks.cast("long")).cast("int")
 
@@ -144,7 +152,7 @@ class Audit:
                               .groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df")), "audit-counts")
         kept = materialize(counted.groupBy("lang", "term").agg(F.sum("df").alias("df"), F.sum("n").alias("lang_n"))
                            .where(F.col("df") >= min_docs).drop("df"), "audit-kept")
-        sizes = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("vocabulary"), F.sum("lang_n").alias("lang_total"))
+        sizes = _beside(materialize(kept.groupBy("lang").agg(F.count(F.lit(1)).alias("vocabulary"), F.sum("lang_n").alias("lang_total")), "audit-sizes"))
         in_block = Window.partitionBy("lang", "block")
         self.terms = materialize(
             kept.join(sizes.select("lang", _blocks(F.col("vocabulary"), terms_per_block).alias("tblocks")), "lang")
@@ -152,9 +160,9 @@ class Audit:
             .withColumn("id", F.row_number().over(in_block.orderBy("term")) - 1)
             .withColumn("n_terms", F.count(F.lit(1)).over(in_block)).drop("tblocks"), "audit-terms")
         self.counts = materialize(counted.drop("df").join(self.terms.drop("n_terms"), ["lang", "term"]), "audit-kept-counts")
-        found = d.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n_docs"))
+        found = materialize(d.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n_docs")), "audit-found")
         totals = self.counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-        of_lang = found.groupBy("lang").agg(_blocks(F.count(F.lit(1)), groups_per_block).alias("gblocks"))
+        of_lang = _beside(materialize(found.groupBy("lang").agg(_blocks(F.count(F.lit(1)), groups_per_block).alias("gblocks")), "audit-langs"))
         zero = F.lit(0).cast("long")
         self.groups = materialize(
             found.join(totals, ["lang", "source"], "left").join(of_lang, "lang").join(sizes, "lang", "left")
