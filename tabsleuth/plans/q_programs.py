@@ -19,6 +19,7 @@ from ..sources.store import materialize
 from . import fixtures as X
 from .registry import register
 from .sql_answers import sql_number_print
+from .sqlgen import sql_nearest
 
 # --- L1 -------------------------------------------------------------------------
 
@@ -216,7 +217,11 @@ def react_rounds(spark, sf_dir):
 
 # --- R5, K6 --------------------------------------------------------------------------
 
-@register("text_embed")
+_EMBED_Q = "(SELECT item_id AS query_id, 'docs' AS corpus_id, text AS query FROM benchmark)"
+_EMBED_D = "(SELECT 'docs' AS corpus_id, doc_id AS doc_ord, text AS page_content FROM documents)"
+
+
+@register("text_embed", f"SELECT query_id, doc_ord AS doc_id, rank, round(dist, 6) AS dist FROM {sql_nearest(_EMBED_Q, _EMBED_D, ['query_id'], 128, 3)}")
 def text_embed(spark, sf_dir):
     """Hashed-embedding vectors of documents and benchmark texts, top 3 per text."""
     docs = D.embed(X.load(spark, sf_dir, "documents").select("doc_id", "text"), "text", dim=128)

@@ -50,3 +50,26 @@ def sql_top_k(scores: str, keys: list[str], k: int, score: str = "score", doc: s
     part = ", ".join(keys)
     return (f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {part} ORDER BY round({score}, 9) DESC, "
             f"{doc} DESC) AS rank FROM {scores}) WHERE rank <= {k})")
+
+
+def sql_hashed_weights(rows: str, keys: list[str], text: str, dim: int) -> str:
+    """(keys..., bucket, w): unit vectors of hashed bags of words."""
+    k = ", ".join(keys)
+    return f"""(SELECT {k}, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY {k})) AS w FROM (
+  SELECT {k}, CAST('0x' || substr(md5(token), 1, 8) AS BIGINT) % {dim} AS bucket, CAST(count(*) AS DOUBLE) AS n
+  FROM (SELECT {k}, unnest({sql_tokenize(text)}) AS token FROM {rows}) GROUP BY ALL))"""
+
+
+def sql_nearest(queries: str, docs: str, q_keys: list[str], dim: int, k: int) -> str:
+    """(q_keys..., corpus_id, doc_ord, dist, rank): the k nearest docs(corpus_id, doc_ord, page_content) of
+    queries(q_keys..., corpus_id, query) by squared L2 between hashed unit vectors."""
+    q, qq = ", ".join(q_keys), ", ".join(f"q.{c}" for c in q_keys)
+    same = " AND ".join(f"s.{c} = q.{c}" for c in [*q_keys])
+    return f"""(WITH qw AS {sql_hashed_weights(queries, [*q_keys, 'corpus_id'], 'query', dim)},
+dw AS {sql_hashed_weights(docs, ['corpus_id', 'doc_ord'], 'page_content', dim)},
+qn AS (SELECT {q}, corpus_id, CASE WHEN len({sql_tokenize('query')}) > 0 THEN 1.0 ELSE 0.0 END AS n FROM {queries}),
+dn AS (SELECT corpus_id, doc_ord, CASE WHEN len({sql_tokenize('page_content')}) > 0 THEN 1.0 ELSE 0.0 END AS n FROM {docs}),
+s AS (SELECT {qq}, q.corpus_id, d.doc_ord, sum(q.w * d.w) AS dot FROM qw q JOIN dw d ON q.corpus_id = d.corpus_id AND q.bucket = d.bucket GROUP BY ALL),
+a AS (SELECT {qq}, q.corpus_id, d.doc_ord, greatest(q.n + d.n - 2 * coalesce(s.dot, 0), 0) AS dist FROM qn q JOIN dn d ON q.corpus_id = d.corpus_id
+      LEFT JOIN s ON {same} AND s.corpus_id = q.corpus_id AND s.doc_ord = d.doc_ord)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {q}, corpus_id ORDER BY round(dist, 9), doc_ord) AS rank FROM a) WHERE rank <= {k})"""
