@@ -12,6 +12,7 @@ aggregation of it, so one job serves all tables at once.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import and_
@@ -159,52 +160,103 @@ def numeric_cells(cells: DataFrame) -> DataFrame:
 # The accepted number and date spellings of type inference.
 NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|(?i:nan|inf|infinity))\s*$"
 INTEGER_PATTERN = r"^\s*[+-]?\d+\s*$"
-DATE_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "MMM d yyyy"]
+#: Date spellings and their DuckDB twins; where a column satisfies several, the first one is taken.
+DATE_FORMS = [
+    ("yyyy-MM-dd HH:mm:ss", "%Y-%m-%d %H:%M:%S"),
+    ("yyyy-MM-dd", "%Y-%m-%d"),
+    ("yyyy-MM-dd'T'HH:mm:ss", "%Y-%m-%dT%H:%M:%S"),
+    ("yyyy-MM-dd'T'HH:mm:ssXXX", "%Y-%m-%dT%H:%M:%S%z"),
+    ("yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "%Y-%m-%dT%H:%M:%S.%g%z"),
+    ("yyyy-MM-dd HH:mm:ss.SSS", "%Y-%m-%d %H:%M:%S.%g"),
+    ("yyyy-MM-dd HH:mm", "%Y-%m-%d %H:%M"),
+    ("yyyy/MM/dd", "%Y/%m/%d"),
+    ("M/d/yyyy", "%m/%d/%Y"),
+    ("d/M/yyyy", "%d/%m/%Y"),
+    ("M-d-yyyy", "%m-%d-%Y"),
+    ("d-M-yyyy", "%d-%m-%Y"),
+    ("d.M.yyyy", "%d.%m.%Y"),
+    ("d MMMM yyyy", "%d %B %Y"),
+    ("d MMM yyyy", "%d %b %Y"),
+    ("d-MMM-yyyy", "%d-%b-%Y"),
+    ("MMMM d, yyyy", "%B %d, %Y"),
+    ("MMM d, yyyy", "%b %d, %Y"),
+    ("MMMM d yyyy", "%B %d %Y"),
+    ("MMM d yyyy", "%b %d %Y"),
+]
+_MONTHS = "January February March April May June July August September October November December".split()
+#: What each part of a date form matches; values of another shape are not parsed.
+_PARTS = {"yyyy": r"\d{4}", "MMMM": f"({'|'.join(_MONTHS)})", "MMM": f"({'|'.join(m[:3] for m in _MONTHS)})", "MM": r"(0[1-9]|1[0-2])", "M": r"(0?[1-9]|1[0-2])",
+          "dd": r"(0[1-9]|[12]\d|3[01])", "d": r"(0?[1-9]|[12]\d|3[01])", "HH": r"([01]\d|2[0-3])", "mm": r"[0-5]\d", "ss": r"[0-5]\d", "SSS": r"\d{3}",
+          "XXX": r"(Z|[+-]\d\d:\d\d)", "'T'": "T", ".": r"\."}
+_SHAPES = ["^" + re.sub(r"y+|M+|d+|H+|m+|s+|S+|X+|'T'|\.", lambda m: _PARTS[m.group()], form) + "$" for form, _ in DATE_FORMS]
 SQL_NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|(?i:nan|inf|infinity))\s*$"
-SQL_DATE_FORMATS = ["%Y-%m-%d %H:%M:%S", "%Y-%m-%d", "%Y/%m/%d", "%b %d %Y"]
 
 
-def parse_timestamp(c: Column) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in DATE_FORMATS])
+def date_mask(v: Column) -> Column:
+    """A bit for each date form that a text satisfies."""
+    t = F.trim(v)
+    bits = [F.when(t.rlike(shape) & F.try_to_timestamp(t, F.lit(form)).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0))
+            for i, ((form, _), shape) in enumerate(zip(DATE_FORMS, _SHAPES))]
+    out = bits[0]
+    for b in bits[1:]:
+        out = out.bitwiseOR(b)
+    return out
+
+
+def parse_time(v: Column, form: Column) -> Column:
+    """The time of a text by the number of its form."""
+    out = F.lit(None).cast("timestamp")
+    for i, (f, _) in enumerate(DATE_FORMS):
+        out = F.when(form == i, F.try_to_timestamp(F.trim(v), F.lit(f))).otherwise(out)
+    return out
 
 
 def infer_types(cells: DataFrame) -> DataFrame:
     """per (table, column) dtype of a column of strings, whole column or nothing.
 
     numeric if every non-empty value is a number (int64 when all are integers
-    and none is missing, else float64); else datetime if every value parses;
-    else object.  All-missing columns are float64.
+    and none is missing, else float64); else datetime if one date form fits every
+    non-empty value (``date_form``, its number in ``DATE_FORMS``): a column decides
+    the order of day and month, which single values may leave open; else
+    object.  All-missing columns are float64.
     """
     v = F.col("value")
     missing = v.isNull() | (v == "")
+    every = F.lit((1 << len(DATE_FORMS)) - 1)
+    # a column's masks meet in one number
+    mask = F.bit_and(F.when(missing, every).when(v.rlike(NUMBER_PATTERN), F.lit(0)).otherwise(date_mask(v)))
+    lowest = F.col("mask").bitwiseAND(-F.col("mask"))
     return (cells.groupBy("table_id", "col_id", "column_name")
             .agg(F.count(F.when(~missing, 1)).alias("n_present"),
                  F.count(F.lit(1)).alias("n"),
                  F.bool_and(missing | v.rlike(NUMBER_PATTERN)).alias("all_num"),
                  F.bool_and(missing | v.rlike(INTEGER_PATTERN)).alias("all_int"),
-                 F.bool_and(v.isNotNull() & parse_timestamp(v).isNotNull()).alias("all_ts"))
-            .select("table_id", "col_id", "column_name",
-                    F.when(F.col("n_present") == 0, "float64")
-                    .when(F.col("all_int") & (F.col("n_present") == F.col("n")), "int64")
-                    .when(F.col("all_num"), "float64")
-                    .when(F.col("all_ts"), "datetime64[ns]")
-                    .otherwise("object").alias("dtype")))
+                 mask.alias("mask"))
+            .withColumn("dtype", F.when(F.col("n_present") == 0, "float64")
+                        .when(F.col("all_int") & (F.col("n_present") == F.col("n")), "int64")
+                        .when(F.col("all_num"), "float64")
+                        .when(F.col("mask") != 0, "datetime64[ns]")
+                        .otherwise("object"))
+            .select("table_id", "col_id", "column_name", "dtype",
+                    F.when(F.col("dtype") == "datetime64[ns]", F.round(F.log2(lowest)).cast("int")).alias("date_form")))
 
 
-def apply_types(cells: DataFrame, types: DataFrame) -> DataFrame:
-    """Typed long form: attach the inferred dtype and the numeric value.
+def apply_types(cells: DataFrame, types: DataFrame, times: bool = False) -> DataFrame:
+    """Typed long form: attach the inferred dtype and the numeric value; ``times``: also ``time``,
+    the value of a datetime column.
 
     ``types`` has one row per column, so it is joined by broadcast when the
     planner measures it small (AQE), else by shuffle.
     """
-    t = types.select("table_id", "col_id", F.col("dtype").alias("_dt"))
+    t = types.select("table_id", "col_id", F.col("dtype").alias("_dt"), F.col("date_form").alias("_form"))
     numeric = F.col("_dt").isin("int64", "float64")
     return (cells.drop("dtype", "is_numeric", "num")
             .join(t, ["table_id", "col_id"])
             .select("table_id", "row_id", "col_id", "column_name",
                     F.col("_dt").alias("dtype"), numeric.alias("is_numeric"),
                     F.col("value"),
-                    F.when(numeric & (F.col("value") != ""), F.col("value").try_cast("double")).alias("num")))
+                    F.when(numeric & (F.col("value") != ""), F.col("value").try_cast("double")).alias("num"),
+                    *([parse_time(F.col("value"), F.col("_form")).alias("time")] if times else [])))
 
 
 def stringified_cells(tables: Mapping[str, DataFrame], id_col: str = "row_id") -> DataFrame:

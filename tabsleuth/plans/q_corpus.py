@@ -107,9 +107,8 @@ def long_cells(spark, sf_dir):
           "count(*) AS n, "
           f"bool_and(value IS NULL OR value = '' OR regexp_matches(value, '{C.SQL_NUMBER_PATTERN}')) AS all_num, "
           f"bool_and(value IS NULL OR value = '' OR regexp_matches(value, '{C.INTEGER_PATTERN}')) AS all_int, "
-          "bool_and(value IS NOT NULL AND coalesce("
-          + ", ".join(f"try_strptime(value, '{f}')" for f in C.SQL_DATE_FORMATS)
-          + f") IS NOT NULL) AS all_ts FROM {X.sql_cells(['part', 'orders'], stringify=True)} "
+          + " OR ".join(f"bool_and(value IS NULL OR value = '' OR try_strptime(value, '{f}') IS NOT NULL)" for _, f in C.DATE_FORMS)
+          + f" AS all_ts FROM {X.sql_cells(['part', 'orders'], stringify=True)} "
           "GROUP BY table_id, col_id, column_name)")
 def infer_types(spark, sf_dir):
     """F1 F2: infer column types of part and orders with every column cast to text."""
@@ -118,7 +117,36 @@ def infer_types(spark, sf_dir):
     typed = C.apply_types(raw, types)
     present = (typed.groupBy("table_id", "col_id")
                .agg(F.count(F.when(F.col("value").isNotNull() & (F.col("value") != ""), 1)).alias("n_present")))
-    return types.join(present, ["table_id", "col_id"])
+    return types.drop("date_form").join(present, ["table_id", "col_id"])
+
+
+#: Spellings of an order's date, by column: Spark pattern (null: see the query) and its DuckDB text.
+_SPELLINGS = [("iso_zone", "yyyy-MM-dd'T'HH:mm:ss'Z'"), ("long", "d MMMM yyyy"), ("day_first", "dd/MM/yyyy"), ("month_first", "M/d/yyyy"),
+              ("open_order", "MM/dd/yyyy"), ("comma", "MMM d, yyyy"), ("dots", "d.M.yyyy"), ("mixed", "yyyy-MM-dd"), ("gaps", "yyyy/MM/dd")]
+
+
+@register("date_columns",
+          "WITH o AS (SELECT o_orderkey, date_trunc('day', o_orderdate) AS d, day(o_orderdate) <= 12 AS low FROM orders) " + " UNION ALL ".join(
+              f"SELECT '{n}' AS column_name, '{'object' if n == 'mixed' else 'datetime64[ns]'}' AS dtype, CAST(count(*) AS BIGINT) AS n, "
+              + ("CAST(NULL AS BIGINT) AS seconds" if n == "mixed" else
+                 f"CAST(sum(epoch({'CASE WHEN o_orderkey % 3 > 0 THEN d END' if n == 'gaps' else 'd'})) AS BIGINT) AS seconds")
+              + f" FROM o{' WHERE low' if n == 'open_order' else ''}" for n, _ in _SPELLINGS))
+def date_columns(spark, sf_dir):
+    """nine columns of order dates in other spellings, their inferred types and the sum of their times."""
+    day = F.date_trunc("day", F.col("o_orderdate"))
+    o = X.load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id"), day.alias("d"))
+    values = []
+    for i, (n, pattern) in enumerate(_SPELLINGS):
+        v = F.date_format("d", pattern)
+        if n == "mixed":
+            v = F.when(F.col("row_id") % 2 == 0, F.date_format("d", "d MMMM yyyy")).otherwise(v)
+        if n == "gaps":
+            v = F.when(F.col("row_id") % 3 > 0, v).otherwise(F.when(F.col("row_id") % 2 == 0, F.lit("")))
+        keep = (F.dayofmonth("d") <= 12) if n == "open_order" else F.lit(True)
+        values.append(F.struct(F.lit(i).alias("col_id"), F.lit(n).alias("column_name"), v.alias("value"), keep.alias("keep")))
+    cells = o.select(F.lit("dates").alias("table_id"), "row_id", F.inline(F.array(*values))).where("keep").drop("keep")
+    typed = C.apply_types(cells, C.infer_types(cells), times=True)
+    return typed.groupBy("column_name", "dtype").agg(F.count(F.lit(1)).alias("n"), F.sum(F.unix_seconds("time")).alias("seconds"))
 
 
 @register("schema_profile_numeric",
