@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,18 +14,33 @@ HELD_OUT = 2
 
 
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_TOP_ROWS = "spark.sql.optimizer.windowGroupLimitThreshold"
+
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """A session setting for the length of a block, as it was (set or not) afterwards."""
+    before = spark.conf.get(key, None) if key in spark.conf.getAll else None
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def first_rows(spark: SparkSession, n: int):
+    """A block in which ``row_number() <= n`` keeps at most n rows of a group in each task before they are shuffled."""
+    return setting(spark, _TOP_ROWS, str(n))
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage with a written table in the shared folder; the shuffle files
     behind it are not needed any more and go with the write."""
-    conf = df.sparkSession.conf
-    before = conf.get(_CLEAN, "false")
-    conf.set(_CLEAN, "true")
-    try:
+    with setting(df.sparkSession, _CLEAN, "true"):
         return store.materialize(df, name)
-    finally:
-        conf.set(_CLEAN, before)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

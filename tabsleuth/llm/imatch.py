@@ -71,20 +71,30 @@ def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> np.ndarray
     return np.sort(band.toPandas()["term"].to_numpy(np.int64).view(np.uint64))
 
 
+class Subsets:
+    """Which random subsets each term of a lexicon belongs to, found once for a task."""
+
+    def __init__(self, lex: np.ndarray):
+        self.lex = lex
+        self.members = np.stack([mix64(lex, j + 1) < cut for j, cut in enumerate(_CUTS)])
+
+    def fingerprint(self, text: str) -> str:
+        h = np.unique(_HASHES.of(list(set(TERM.findall(text.lower())))))
+        if len(self.lex) and len(h):
+            at = np.searchsorted(self.lex, h)
+            at[at == len(self.lex)] = 0
+            known = self.lex[at] == h
+            h, at = h[known], at[known]
+        if not len(self.lex) or not len(h):
+            raw = text.encode()
+            return "".join(xxhash.xxh32_hexdigest(raw, seed=j) for j in range(len(RATES)))
+        inside = self.members[:, at]
+        some = inside.any(axis=1)
+        return "".join([xxhash.xxh32_hexdigest(h[m].tobytes()) if any_ else EMPTY for m, any_ in zip(inside, some)])
+
+
 def fingerprint(text: str, lex: np.ndarray) -> str:
-    h = np.unique(_HASHES.of(list(set(TERM.findall(text.lower())))))
-    if len(lex) and len(h):
-        at = np.searchsorted(lex, h)
-        at[at == len(lex)] = 0
-        h = h[lex[at] == h]
-    if not len(lex) or not len(h):
-        raw = text.encode()
-        return "".join(xxhash.xxh32_hexdigest(raw, seed=j) for j in range(len(RATES)))
-    out = []
-    for j, cut in enumerate(_CUTS):
-        some = h[mix64(h, j + 1) < cut]
-        out.append(xxhash.xxh32_hexdigest(some.tobytes()) if len(some) else EMPTY)
-    return "".join(out)
+    return Subsets(lex).fingerprint(text)
 
 
 def likeness(a: str, b: str) -> float:
@@ -116,14 +126,21 @@ def _in_order(docs: DataFrame) -> DataFrame:
     cuts = d.agg(F.percentile_approx("id", [i / n for i in range(1, n)], 20 * n)).first()[0] if n > 1 else []
     bounds = np.unique(np.array(cuts or [], dtype=np.int64))
 
-    @F.pandas_udf("int")
-    def bucket(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, ids.to_numpy(np.int64), side="left").astype(np.int32))
+    # an id of many rows (null, above all) fills a bucket of its own, which is cut by the hash
+    often = d.groupBy("id").count().where(F.col("count") > F.greatest(F.lit(2), F.lit(d.count() // n))).orderBy(F.desc("count")).limit(n).toPandas()["id"]
+    often = np.sort(often.to_numpy(np.int64))
+    bounds = np.unique(np.concatenate([bounds, often, often - (often > -(2 ** 63))]))
+
+    @F.pandas_udf("long")
+    def bucket(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        i, h = ids.to_numpy(np.int64), hashes.to_numpy(np.int64)
+        part = np.where(np.isin(i, often), (h >> 52) + 2048, 0)
+        return pd.Series(np.searchsorted(bounds, i, side="left") * 4096 + part)
 
-    d = d.withColumn("h", F.xxhash64("text")).withColumn("bucket", bucket("id"))
+    d = d.withColumn("h", F.xxhash64("text")).withColumn("bucket", bucket("id", "h"))
     heads = d.groupBy("bucket").agg(F.max(F.struct("id", "h")).alias("head")).orderBy("bucket").collect()   # a row per bucket
     after = [(heads[i]["bucket"], heads[i - 1]["head"]["id"], heads[i - 1]["head"]["h"]) for i in range(len(heads))]
-    after = spark.createDataFrame(after, "to int, a_id long, a_h long")
+    after = spark.createDataFrame(after, "to long, a_id long, a_h long")
     follow = (d.join(F.broadcast(after), (F.col("id") == F.col("a_id")) & (F.col("h") == F.col("a_h")))
               .select("to", "id", "doc_id", "text", "h").dropDuplicates(["to"]))
     both = d.select("bucket", F.lit(0).alias("role"), "id", "doc_id", "text", "h").unionByName(
@@ -137,15 +154,17 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     lex = spark.sparkContext.broadcast(lexicon(docs))
 
     def run(batches):
+        fingerprint = Subsets(lex.value).fingerprint
         held = None        # (bucket, doc_id, text, fingerprint) that waits for the next document
         for b in batches:
             rows = []
             for bucket, role, doc, text in b[["bucket", "role", "doc_id", "text"]].itertuples(index=False):
-                own = fingerprint(text, lex.value)
+                own = fingerprint(text)
                 if held is not None:
-                    assert held[0] == bucket, "a bucket ends with the document that follows it"
+                    if held[0] != bucket:
+                        raise RuntimeError(f"bucket {held[0]} does not end with the document that follows it")
                     new = edited(held[2], text)
-                    new_print = fingerprint(new, lex.value)
+                    new_print = fingerprint(new)
                     rows.append((held[1], len(held[2]), hashlib.sha256(new.encode()).hexdigest(), held[3], new_print,
                                  likeness(held[3], new_print), likeness(held[3], own)))
                 held = None if role else (bucket, doc, text, own)

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import first_rows, held_out
 from .words import mix64
 
 #: Different texts learned from, of each language: the bound of the sample.
@@ -37,6 +37,8 @@ HASHES = 2
 KEEP = 0.1
 #: Documents of the sample that must hold a trigram.
 MIN_DOCS = 3
+#: A language of fewer texts than this for each of them asks for less.
+TEXTS_PER_DOC = 20
 CHUNK = 1 << 21
 UNKNOWN = "und"
 
@@ -150,8 +152,9 @@ def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, slot_bits: int = SLOT
     d = docs.select("text", F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
     d = d.withColumn("__h", F.xxhash64("text"))
     first = Window.partitionBy("lang").orderBy("__h")
-    sample = (d.select("lang", "__h").dropDuplicates().withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= sample_rows)
-              .groupBy("lang").agg(F.max("__h").alias("last"), F.count(F.lit(1)).alias("n")).collect())   # a row per language
+    with first_rows(spark, sample_rows):
+        sample = (d.select("lang", "__h").dropDuplicates().withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= sample_rows)
+                  .groupBy("lang").agg(F.max("__h").alias("last"), F.count(F.lit(1)).alias("n")).collect())   # a row per language
     sizes = {r["lang"]: r["n"] for r in sample}
     langs = sorted(sizes)
     if not langs:
@@ -161,10 +164,11 @@ def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, slot_bits: int = SLOT
     d = (d.join(F.broadcast(last), (F.col("lang") == F.col("__lang")) & (F.col("__h") <= F.col("__last")))
          .dropDuplicates(["lang", "__h"]).select("text", "lang"))
     n_words = -(-len(langs) // 64)
-    grams = (d.mapInPandas(_count, "lang string, gram long, docs long").groupBy("lang", "gram").agg(F.sum("docs").alias("docs"))
-             .where(F.col("docs") >= MIN_DOCS))
+    grams = d.mapInPandas(_count, "lang string, gram long, docs long").groupBy("lang", "gram").agg(F.sum("docs").alias("docs"))
     info = spark.createDataFrame([(x, i, float(sizes[x])) for i, x in enumerate(langs)], "lang string, i int, n double")
-    share = grams.join(F.broadcast(info), "lang").withColumn("share", F.col("docs") / F.col("n"))
+    share = grams.join(F.broadcast(info), "lang").where(F.col("docs") >= F.least(F.lit(MIN_DOCS), 1 + F.floor(F.col("n") / TEXTS_PER_DOC)))
+    # of few texts a share says less
+    share = share.withColumn("share", F.col("docs") / (F.col("n") + 1))
     share = share.withColumn("top", F.max("share").over(Window.partitionBy("gram"))).where(F.col("share") >= KEEP * F.col("top"))
 
     def slots(batches):

@@ -56,6 +56,9 @@ class WordIds:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        self.plain = Tokenizer.from_file(path)
+        #: Texts with one of these hold ids that no other text gives; they are encoded whole.
+        self.special = [t.content for t in self.plain.get_added_tokens_decoder().values()]
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.after: dict[str, bytes] = {}       # parts that follow a space, without it
@@ -89,7 +92,9 @@ class WordIds:
                 self.after[w] = raw[at[i]:at[i + 1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.parts(t) if t else [] for t in texts]
+        whole = {i: np.asarray(self.plain.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
+                 for i, t in enumerate(texts) if t and any(s in t for s in self.special)}
+        cut = [self.parts(t) if t and i not in whole else [] for i, t in enumerate(texts)]
         if len(self.after) > CACHE_WORDS:
             self.after = {}
         if len(self.first) > CACHE_WORDS:
@@ -103,7 +108,7 @@ class WordIds:
         if new:
             self._learn(new)
         known = after.__getitem__
-        return [first[p[0]] + b"".join(map(known, p[1:])) if p else b"" for p in cut]
+        return [first[p[0]] + b"".join(map(known, p[1:])) if p else whole.get(i, b"") for i, p in enumerate(cut)]
 
 
 _ENCODERS: dict[str, WordIds] = {}

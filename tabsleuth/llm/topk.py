@@ -210,7 +210,7 @@ def top_k(vectors: DataFrame, is_query, k: int, id_col: str = "vec_id", vec_col:
     queries = v.where(is_query(F.col("id"))).dropDuplicates(["id", "v"])
     # One query per id: of several vectors with one id, the first in order.
     queries = queries.groupBy("id").agg(F.min_by(F.struct("v", "dim"), F.xxhash64("v")).alias("x")).select("id", "x.v", "x.dim")
-    queries = queries.withColumn("b", F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(blocks)) * 4096 + F.least(F.col("dim"), F.lit(4095)))
+    queries = queries.withColumn("b", F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(blocks)) * F.lit(1 << 31) + F.col("dim"))
     q_state = materialize(queries.select(F.col("b").alias("block"), F.col("id").alias("query_id"), F.lit(-reach).alias("lo"), F.lit(reach).alias("hi"),
                              F.lit(stats["id_lo"]).alias("id_lo"), F.lit(stats["id_hi"]).alias("id_hi"), F.lit(0).cast("long").alias("above"),
                              F.lit(False).alias("settled")), "topk-state")

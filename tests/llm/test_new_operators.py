@@ -225,3 +225,63 @@ def test_licenses_odd_tables(odd):
     assert [r.n_words for r in got if r.doc_id == 5] == [60_000]
     assert licenses.label(odd.limit(0)).count() == 0
     assert {r.labels for r in licenses.label(odd, templates=[]).collect()} == {""}
+
+
+# --- mended cases of earlier operators ----------------------------------------------
+
+def test_special_token_texts_are_packed_as_the_tokenizer_reads_them(make):
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    from tabsleuth.llm import packing
+    tok = Tokenizer.from_file(packing.default_tokenizer())
+    texts = ["a b<|endoftext|> c", "<|endoftext|>", "plain text", "x <|endoftext|><|endoftext|>"]
+    got = {r.doc_id: r for r in packing.pack_documents(make([(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
+    for i, t in enumerate(texts):
+        ids = tok.encode(t, add_special_tokens=False).ids + [0]
+        assert got[i].length == len(ids) and got[i].ids_crc32 == zlib.crc32(np.asarray(ids, "<u4").tobytes())
+
+
+def test_vectors_of_many_lengths(spark):
+    from tabsleuth.llm import topk
+    ship_package(spark)
+    rows = [(i, [1.0 / (1 + i % 7)] * dim) for i, dim in enumerate([5000, 5001, 5000, 5001, 4095, 4094, 4095])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda c: c % 2 == 0, k=2).collect()
+    v = {i: [int(256 * x) for x in e] for i, e in rows}
+    want = [(q, n + 1, i, s) for q in v if q % 2 == 0
+            for n, (s, i) in enumerate(sorted(((sum(a * b for a, b in zip(v[q], v[i])), i) for i in v if i != q and len(v[i]) == len(v[q])), key=lambda x: (-x[0], x[1]))[:2])]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_fingerprints_of_equal_ids(make):
+    from tabsleuth.llm import imatch
+    rows = [(None, f"text number {i} of some words here", "en", "s") for i in range(40)] + [(5, f"other text {i}", "en", "s") for i in range(30)]
+    docs = make(rows + [(i, f"plain {i}", "en", "s") for i in range(10, 30)])
+    placed = imatch._in_order(docs)
+    assert len({r[0] for r in placed.select("bucket").collect()}) > 40              # null ids are not one bucket
+    got = imatch.fingerprints(docs).collect()
+    assert len(got) == 90 and sum(r.doc_id is None for r in got) == 40
+    order = sorted(((r.doc_id if r.doc_id is not None else -2 ** 63, h, r.text) for r, h in
+                    ((r, r.h) for r in docs.selectExpr("doc_id", "text", "xxhash64(text) h").collect())), reverse=True)
+    texts = [t for _, _, t in order]
+    want = sorted(hashlib.sha256(imatch.edited(t, texts[(k + 1) % len(texts)]).encode()).hexdigest() for k, t in enumerate(texts))
+    assert sorted(r.edited_sha256 for r in got) == want
+
+
+def test_copies_of_a_labelled_row_are_one_row(spark, make):
+    from tabsleuth.llm import toxicity
+    docs = make([(4, "a text that is copied", "en", "s")] * 150 + [(i, f"clean text {i}", "en", "s") for i in range(100, 120)])
+    labels = spark.createDataFrame([(4, 1)] + [(i, 0) for i in range(100, 120)], "doc_id long, toxic int")
+    rows, _ = toxicity._labelled(docs, labels, 50)
+    assert len(rows) == rows["doc_id"].nunique() and len(rows) <= 21
+    plan = rows  # the rows came through a join of 150 copies with 150 copies
+    assert plan["text"].nunique() == len(rows)
+
+
+def test_a_language_of_two_texts_is_learned(make):
+    from tabsleuth.llm import langid
+    rows = [(i, f"the water and the stone of the house number {i}", "en", "s") for i in range(60)]
+    rows += [(100, "das wasser und der stein", "de", "s"), (101, "der stein und das haus", "de", "s")]
+    model = langid.learn(make(rows))
+    assert langid.identify(make([(1, "das wasser und der stein", None, "s"), (2, "the stone of the house", None, "s")]), model).toPandas().set_index("doc_id")["lang_pred"].to_dict() == {
+        1: "de", 2: "en"}

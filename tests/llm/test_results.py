@@ -239,7 +239,6 @@ def test_toxicity_held_out(spark):
 def test_packing_round_trip(docs, rows):
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(packing.default_tokenizer())
-    tok.encode_special_tokens = True
     got = packing.pack_documents(docs).collect()
     by_doc, by_seq = {}, {}
     for r in got:
