@@ -26,6 +26,7 @@ from ..sources.files import RESULT_SCHEMA
 
 _SCHEMA = T.StructType([f for f in RESULT_SCHEMA.fields if f.name != "_corrupt_record"])
 _STATE = "seen string"           # JSON: [sc_ids, answers, labels]
+_EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 _CHANGE = "id string, pred string, label string, n_seen long, input_tokens long, output_tokens long, total_tokens long, n_records long"
 
 
@@ -78,8 +79,17 @@ def run_changes(spark: SparkSession, path: str, checkpoint: str, out_path: str,
     def write(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
 
-    q = (changed.writeStream.outputMode("update").foreachBatch(write)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    # Expired states go in batches that have data: batches for them alone would follow one another without end.
+    before = spark.conf.get(_EMPTY_BATCHES, None)
+    spark.conf.set(_EMPTY_BATCHES, "false")
+    try:
+        q = (changed.writeStream.outputMode("update").foreachBatch(write)
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    finally:
+        if before is None:
+            spark.conf.unset(_EMPTY_BATCHES)
+        else:
+            spark.conf.set(_EMPTY_BATCHES, before)
     q.awaitTermination()
 
 
