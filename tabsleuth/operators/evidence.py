@@ -159,6 +159,16 @@ def random_rows(cells: DataFrame, k: int, seed: int, keys: Sequence[str] = ("tab
     return cells.join(pick, [*keys, "row_id"], "left_semi")
 
 
+def random_context(cells: DataFrame, shape: DataFrame, k: int, seed: int, limit: int) -> DataFrame:
+    """table_id, context: k random rows of each table as a pipe table; tables whose sample would be
+    too large (3 * k * columns over ``limit``) answer with an error text and are not sampled."""
+    guard = shape.withColumn("too_large", F.lit(3 * k) * F.col("n_cols") > limit)
+    small = guard.where(~F.col("too_large")).select("table_id")
+    md = markdown(random_rows(cells.join(small, "table_id", "left_semi"), k, seed), ["table_id"])
+    return guard.join(md, "table_id", "left").select("table_id", F.when(F.col("too_large"), F.lit("Error: the table is too large."))
+                                                     .otherwise(F.col("markdown")).alias("context"))
+
+
 def preview(cells: DataFrame, shape: DataFrame, n: int) -> DataFrame:
     """The first n/2 and last n/2 rows and columns of each table; the
     gaps are marked by an ellipsis row / column (row_id or col_id = -1)."""

@@ -113,6 +113,29 @@ def _dense_lists(pinned: DataFrame, docs: DataFrame, qkeys: Sequence[str], k: in
     return top.join(back, "_qid").select(*qkeys, "corpus_id", "doc_ord", F.col("dist").alias("score"), "rank")
 
 
+#: Which corpora a mode of retrieval searches, and with which queries: the expanded ones or the question itself.
+MODES = {"full": {"schema": "expanded", "cell": "expanded"}, "no_schema": {"cell": "expanded"}, "no_cell": {"schema": "expanded"},
+         "no_schema_expansion": {"schema": "question", "cell": "expanded"}, "no_expansion": {"schema": "question", "cell": "question"}}
+
+
+def mode_queries(mode: str, questions: DataFrame, expanded: DataFrame, keys: Sequence[str], text_col: str = "question") -> DataFrame:
+    """The queries (keys..., query, query_pos, kind) of a mode.  ``expanded`` has keys..., query, query_pos
+    and may have kind (else each query searches both corpora)."""
+    if mode not in MODES:
+        raise ValueError(f"unknown retrieval mode {mode!r}")
+    parts = []
+    for kind, source in MODES[mode].items():
+        if source == "question":
+            q = questions.select(*keys, F.col(text_col).alias("query"), F.lit(0).cast("long").alias("query_pos"))
+        else:
+            q = expanded
+            if "kind" in q.columns:
+                q = q.where(F.when(F.col("kind") == "column", "schema").otherwise(F.col("kind")) == kind)
+            q = q.select(*keys, "query", F.col("query_pos").cast("long").alias("query_pos"))
+        parts.append(q.withColumn("kind", F.lit(kind)))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
 def union_ordered(hits: DataFrame, keys: Sequence[str], doc: str = "result_text") -> DataFrame:
     """Results of all queries in query order, first occurrence kept.
 

@@ -179,6 +179,25 @@ def context_guard(spark, sf_dir):
         *[c for c in md.columns if c == "part"])
 
 
+def _sql_random_markdown(name: str, k: int, seed: int) -> str:
+    cols = X.STAR_SCHEMAS[name]
+    row = " || ' | ' || ".join(f"coalesce({c}, 'None')" for c, _ in cols)
+    return (f"SELECT '{name}' AS table_id, '| {' | '.join(c for c, _ in cols)} |' || chr(10) || '|' || repeat('---|', {len(cols)}) || chr(10) || '| ' || "
+            f"string_agg({row}, ' |' || chr(10) || '| ' ORDER BY row_id) || ' |' AS context FROM (SELECT *, row_number() OVER ("
+            f"ORDER BY md5('{seed}:' || CAST(row_id AS VARCHAR)), row_id) AS k FROM {X.sql_wide_rendered(name)}) WHERE k <= {k}")
+
+
+RANDOM_K = 8
+
+
+@register("context_random", SQL_SHAPES.split(", md AS")[0] + ", r AS (" + " UNION ALL ".join(_sql_random_markdown(n, RANDOM_K, 3) for n in BASE_TABLES) + f""")
+SELECT s.table_id, CASE WHEN 3 * {RANDOM_K} * n_cols > 140 THEN 'Error: the table is too large.' ELSE r.context END AS context FROM s JOIN r USING (table_id)""")
+def context_random(spark, sf_dir):
+    """Contexts of random rows of each table, in row order, behind the guard on the sample's size."""
+    tabs = X.star_tables(spark, sf_dir, BASE_TABLES)
+    return EV.random_context(C.cells_of(tabs), P.table_shape_wide(tabs), RANDOM_K, 3, 140).select("table_id", "context")
+
+
 @register("table_preview",
           f"""WITH c AS {X.sql_cells(['part', 'customer'])}, s AS (SELECT table_id, max(row_id) + 1 AS n_rows,
   max(col_id) + 1 AS n_cols FROM c GROUP BY table_id)
