@@ -9,6 +9,7 @@ from ..operators import cells as C
 from ..operators import evidence as EV
 from ..operators import expand as XP
 from ..operators import profile as P
+from ..operators import tokens as TK
 from ..operators import retrieve as R
 from . import fixtures as X
 from .flagship import TOP_K, plan, sql_plan_ctes
@@ -132,6 +133,14 @@ def prompt_guard(spark, sf_dir):
     return _prompts(spark, sf_dir, PROMPT_LIMIT)
 
 
+@register("conversation_tokens")
+def conversation_tokens(spark, sf_dir):
+    """SC17 F10: tokens of every conversation turn by a byte-level tokenizer, and whether a guard of 256 tokens holds it back."""
+    import public_tokenizers
+    t = TK.with_tokens(X.load(spark, sf_dir, "conversations"), "text", public_tokenizers.path("byte_bpe_50k.json"))
+    return t.select("conv_id", "turn", "n_tokens", (F.col("n_tokens") > 256).alias("held_back"))
+
+
 def _sql_markdown(name: str) -> str:
     cols = X.STAR_SCHEMAS[name]
     hdr = " | ".join(c for c, _ in cols)
