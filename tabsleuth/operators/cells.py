@@ -309,7 +309,7 @@ def ordered_text(rows: DataFrame, keys: Sequence[str], order: str, value: str, s
     def join_texts(text, at):
         return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(at, text))), lambda x: x[text]), sep)
 
-    chunks = (rows.join(F.broadcast(sizes), same)                            # one row per text
+    chunks = (rows.join(sizes, same)                            # one row per text
               .withColumn("__chunk", F.floor((F.col(order) - F.col("__first")) / n))
               .groupBy(*k, "__bytes", "__chunk").agg(join_texts(value, order).alias("__text")))
     part = F.when(F.col("__bytes") > WHOLE_BYTES, F.col("__chunk")).otherwise(F.lit(0))

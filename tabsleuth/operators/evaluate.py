@@ -173,9 +173,12 @@ def responses(results: DataFrame, sc_id: int = 0) -> DataFrame:
 
 
 def missing_ids(present: DataFrame, n: int | Column, ord_col: str = "ord") -> DataFrame:
-    """Ids 0..n-1 that have no response."""
-    spark = present.sparkSession
-    full = spark.range(0, n).withColumnRenamed("id", ord_col) if isinstance(n, int) else None
+    """Ids 0..n-1 that have no response; ``n`` is a number or an aggregate of ``present``."""
+    if isinstance(n, int):
+        full = present.sparkSession.range(0, n).withColumnRenamed("id", ord_col)
+    else:
+        upto = F.sequence(F.lit(0).cast("long"), F.col("_n").cast("long") - 1)
+        full = present.agg(n.alias("_n")).where("_n > 0").select(F.explode(upto).alias(ord_col))
     return full.join(present.select(ord_col), ord_col, "left_anti")
 
 

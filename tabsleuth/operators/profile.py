@@ -101,10 +101,9 @@ def column_info(cells: DataFrame) -> DataFrame:
 
 
 def table_shape(cells: DataFrame) -> DataFrame:
-    """n_rows, n_cols per table."""
-    return (cells.groupBy("table_id")
-            .agg(F.count_distinct("row_id").alias("n_rows"),
-                 F.count_distinct("col_id").alias("n_cols")))
+    """n_rows, n_cols per table: every row has a cell of every column, so rows are the cells of one column."""
+    columns = cells.groupBy("table_id", "col_id").agg(F.count(F.lit(1)).alias("n"))
+    return columns.groupBy("table_id").agg(F.max("n").alias("n_rows"), F.count(F.lit(1)).alias("n_cols"))
 
 
 def table_shape_wide(tables: dict[str, DataFrame]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import answers as A
 from ..operators import checks as CH
 from ..operators import evaluate as E
+from ..operators.cells import dense_row_ids
 from ..session import scratch_path
 from ..sources import files as FS
 from . import fixtures as X
@@ -384,19 +385,21 @@ def checks(spark, sf_dir):
 def missing_ids(spark, sf_dir):
     """The question ids (0..n-1) without a response (here: orders without lines)."""
     o = X.load(spark, sf_dir, "orders")
-    n = o.agg(F.max("o_orderkey")).collect()[0][0] + 1
+    n = o.agg(F.max("o_orderkey")).first()[0] + 1
     present = X.load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("ord")).distinct()
     return E.missing_ids(present, int(n))
 
 
 @register("responses_sink",
-          "SELECT line, count(*) AS n FROM (SELECT coalesce(regexp_replace(regexp_replace(answer, '[\\r\\n]', ' ', 'g'), "
-          f"'^\\s+|\\s+$', '', 'g'), '') AS line FROM {R} WHERE sc_id = 0) GROUP BY line")
+          "SELECT CAST(row_number() OVER (ORDER BY CAST(regexp_extract(id, '(\\d+)$', 1) AS BIGINT)) - 1 AS BIGINT) AS position, "
+          "coalesce(regexp_replace(regexp_replace(answer, '[\\r\\n]', ' ', 'g'), "
+          f"'^\\s+|\\s+$', '', 'g'), '') AS line FROM {R} WHERE sc_id = 0")
 def responses_sink(spark, sf_dir):
-    """The answer lines written in question order and read back."""
+    """The answer lines written in question order and read back, with their place over all part files."""
     path = scratch_path(spark, "responses")
     FS.write_responses(E.responses(X.results(spark, sf_dir), 0), path)
-    return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+    lines = dense_row_ids(FS.read_lines(spark, path), ["file_path", "line_no"], col="position")
+    return lines.select("position", F.col("value").alias("line"))
 
 
 @register("usage_sink",

@@ -154,3 +154,13 @@ def test_dense_ties_and_dimensions(spark):
     q = spark.createDataFrame([(1, "c", [1.0, 0.0]), (2, "none", [1.0, 0.0])], "query_id long, corpus_id string, vec array<double>")
     got = [(r.query_id, r.rank, r.doc_id, round(r.dist, 9)) for r in dense_top_k(q, d, 3).orderBy("rank").collect()]
     assert got == [(1, 1, 0, 0.0), (1, 2, 1, 0.0), (1, 3, 2, 0.0)]
+
+
+def test_missing_ids_of_an_aggregate(spark):
+    from pyspark.sql import functions as F
+
+    from tabsleuth.operators import evaluate as E
+    present = spark.createDataFrame([(0,), (2,), (5,)], "ord long")
+    assert sorted(r.ord for r in E.missing_ids(present, F.max("ord") + 1).collect()) == [1, 3, 4]
+    assert sorted(r.ord for r in E.missing_ids(present, 4).collect()) == [1, 3]
+    assert E.missing_ids(present.limit(0), F.max("ord") + 1).count() == 0
