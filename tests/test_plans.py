@@ -8,7 +8,7 @@ SF = "/root/testdata/sf0.001"
 # or the three-row template dimension): the remaining nested-loop joins
 # broadcast one to three rows.
 SMALL_CONSTANT_JOINS = {"context_by_baseline", "context_guard", "outer_table_retrieval", "prompt_fill", "prompt_guard",
-                        "random_sample", "row_col_sample"}
+                        "random_sample", "row_col_sample", "context_random"}
 
 
 def _names():
