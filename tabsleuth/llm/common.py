@@ -68,12 +68,8 @@ def doc_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
                     F.xxhash64(t).alias("h1"), F.xxhash64(F.lit("b"), t).alias("h2"))
 
 
-def perhaps_among(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str, slot_bits: int = 24) -> DataFrame:
-    """Rows of ``df`` whose key may occur in ``wanted``, before an exact join.
-
-    A bit map of fixed size (2 MB by default, whatever the input) is broadcast,
-    so that texts without a partner stay where they are.  With more keys than
-    it can tell apart it lets more rows through, never fewer."""
+def _perhaps(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str, slot_bits: int) -> DataFrame:
+    """``df`` with ``__perhaps``: whether the key's bit is set in the bit map of the wanted keys."""
     def slot(c):
         return F.pmod(F.xxhash64(c), F.lit(1 << slot_bits)) + 1
     maps = (wanted.select(slot(wanted_key).alias("s"))
@@ -82,7 +78,21 @@ def perhaps_among(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str, s
     columns = df.columns
     at = F.bitmap_bit_position("__slot")
     byte = F.conv(F.hex(F.substring(F.col("__map"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0
     return (df.withColumn("__slot", slot(key)).withColumn("__bucket", F.bitmap_bucket_number("__slot"))
-            .join(F.broadcast(maps), "__bucket")
-            .where(byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0)
-            .select(*[F.col(f"`{c}`") for c in columns]))
+            .join(F.broadcast(maps), "__bucket", "left")
+            .select(*[F.col(f"`{c}`") for c in columns], F.coalesce(bit, F.lit(False)).alias("__perhaps")))
+
+
+def perhaps_among(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str, slot_bits: int = 24) -> DataFrame:
+    """Rows of ``df`` whose key may occur in ``wanted``, before an exact join.
+
+    A bit map of fixed size (2 MB by default, whatever the input) is broadcast,
+    so that texts without a partner stay where they are.  With more keys than
+    it can tell apart it lets more rows through, never fewer."""
+    return _perhaps(df, key, wanted, wanted_key, slot_bits).where("__perhaps").drop("__perhaps")
+
+
+def surely_not_among(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str, slot_bits: int = 24) -> DataFrame:
+    """The rows that `perhaps_among` leaves out: none of their keys occurs in ``wanted``."""
+    return _perhaps(df, key, wanted, wanted_key, slot_bits).where("not __perhaps").drop("__perhaps")

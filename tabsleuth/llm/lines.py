@@ -2,8 +2,8 @@
 
 Lines are compared as lower-case text without surrounding blanks.  Of equal
 lines the earliest occurrence, by (document, line number), stays.  A line of
-at least ``MIN_FUZZY`` characters also goes if an earlier line is within one
-edit (a character inserted, deleted or replaced) of it; blank lines stay.
+at least ``min_fuzzy`` characters also goes if an earlier line that long is within
+one edit (a character inserted, deleted or replaced) of it; blank lines stay.
 
 Two lines are within one edit if and only if deleting at most one character
 from each makes them equal: equal lengths share a variant with the same
@@ -16,7 +16,8 @@ one edit of every longer one).  What a key proposes is verified on the texts.
 A variant per character would be many times the text, so variants are emitted
 only where they can meet: a pair within one edit agrees in one half, and then
 in all but one block of ``BLOCK`` characters.  Both conditions are hashed
-joins over all lines and drop no pair.
+joins over all lines and drop no pair.  Texts travel only where a line of theirs
+may have a partner, and once more where a line of theirs goes.
 
 Defined cases: a null text has no lines and stays null; rows equal in id and
 text are one document; an empty table gives no rows; other columns are kept
@@ -30,9 +31,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_key, materialize, perhaps_among
+from .common import doc_key, materialize, perhaps_among, surely_not_among
 
-#: Shorter lines only go as exact copies: one edit is too much of them.
+#: Default of ``min_fuzzy``: shorter lines only go as exact copies, as one edit is too much of them.
 MIN_FUZZY = 20
 BLOCK = 16
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -48,7 +49,7 @@ def _exploded(docs: DataFrame) -> DataFrame:
         "key", "line_no", _normal(F.col("line")).alias("line"))
 
 
-def first_lines(docs: DataFrame) -> DataFrame:
+def first_lines(docs: DataFrame, min_fuzzy: int = MIN_FUZZY) -> DataFrame:
     """Distinct lines: h1, h2, n, first (document key and line number), half keys.
 
     ``docs`` has key and text.  A line of length n is keyed for partners of its
@@ -59,7 +60,7 @@ def first_lines(docs: DataFrame) -> DataFrame:
         return [F.xxhash64(m, F.lit("head"), F.left("line", half)), F.xxhash64(m, F.lit("tail"), F.right("line", half))]
 
     d = _exploded(docs).where("line <> ''").withColumn("n", F.length("line"))
-    keys = F.when(F.col("n") >= MIN_FUZZY, F.array(*halves(F.col("n")), *halves(F.col("n") - 1)))
+    keys = F.when(F.col("n") >= min_fuzzy, F.array(*halves(F.col("n")), *halves(F.col("n") - 1)))
     return (d.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("b"), F.col("line")).alias("h2"), "n",
                      F.struct("key", "line_no").alias("at"), keys.alias("halves"))
             .groupBy("h1", "h2", "n").agg(F.min("at").alias("at"), F.any_value("halves").alias("halves")))
@@ -71,6 +72,16 @@ def _shared(keyed: DataFrame) -> DataFrame:
     return keyed.join(materialize(met, "lines-met"), "k", "left_semi")
 
 
+def _wanted_lines(batches):
+    """The wanted lines of each text, as they stand."""
+    for b in batches:
+        rows = []
+        for i, t1, t2, text, wanted in b[["id", "t1", "t2", "text", "wanted"]].itertuples(index=False):
+            lines = text.split("\n")
+            rows.extend((i, t1, t2, w["line_no"], w["h1"], lines[w["line_no"]]) for w in wanted)
+        yield pd.DataFrame(rows, columns=["id", "t1", "t2", "line_no", "h1", "line"])
+
+
 class _Powers:
     def __init__(self):
         self.up = self.down = np.ones(1, np.uint64)
@@ -161,13 +172,17 @@ def _emit_variants(batches):
 
 def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     """``at`` of the lines that an earlier line is within one edit of."""
-    keyed = firsts.where("halves is not null").select("h1", "at", F.explode("halves").alias("k"))
-    some = materialize(_shared(keyed).select("h1", "at").distinct(), "lines-halves")
-    wanted = some.select("at.key").distinct()
-    texts = _exploded(perhaps_among(docs, "key", wanted, "key").join(wanted, "key", "left_semi"))
-    texts = (texts.select("line", F.xxhash64("line").alias("h1"), F.struct("key", "line_no").alias("at"))
-             .join(some, ["h1", "at"], "left_semi").dropDuplicates(["at"]))
-    texts = materialize(texts, "lines-texts")
+    keyed = firsts.where("halves is not null").select("h1", F.explode("halves").alias("k"))
+    some = materialize(_shared(keyed).select("h1").distinct(), "lines-halves")
+    wanted = (firsts.select("h1", "at").join(some, "h1", "left_semi")
+              .groupBy("at.key").agg(F.collect_list(F.struct("at.line_no", "h1")).alias("wanted")))
+    wanted = materialize(wanted, "lines-wanted")
+    found = perhaps_among(docs, "key", wanted, "key").join(wanted, "key")
+    texts = (found.select("key.id", F.col("key.h1").alias("t1"), F.col("key.h2").alias("t2"), "text", "wanted")
+             .mapInPandas(_wanted_lines, "id long, t1 long, t2 long, line_no int, h1 long, line string"))
+    key = F.struct("id", F.col("t1").alias("h1"), F.col("t2").alias("h2"))
+    texts = texts.select(_normal(F.col("line")).alias("line"), "h1", F.struct(key.alias("key"), "line_no").alias("at"))
+    texts = materialize(texts.dropDuplicates(["at"]), "lines-texts")
     blocks = materialize(texts.mapInPandas(_emit_blocks, "k long, h1 long, m int, block int"), "lines-blocks")
     met = _shared(blocks).groupBy("h1").agg(F.collect_set(F.struct("m", "block")).alias("met"))
     met = texts.join(materialize(met, "lines-edges"), "h1")
@@ -210,14 +225,27 @@ def _keep(batches):
         yield b
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with the lines that stay as text, and ``__lines`` and ``__removed``, their numbers."""
+def dedup(docs: DataFrame, min_fuzzy: int = MIN_FUZZY) -> DataFrame:
+    """``docs`` with the lines that stay as text, and ``__lines`` and ``__removed``, their numbers.
+
+    Only documents that lose a line meet the numbers of the lines that they keep; the others stay in place."""
     d = docs.select(doc_key().alias("key"), "text")
-    firsts = materialize(first_lines(d), "lines-first")
+    firsts = materialize(first_lines(d, min_fuzzy), "lines-first")
     near = materialize(near_lines(d, firsts), "lines-near")
     kept = (firsts.select("at").join(near, "at", "left_anti")
             .groupBy(F.col("at.key").alias("__k")).agg(F.collect_list("at.line_no").alias("__kept")))
     kept = materialize(kept, "lines-kept")
-    out = docs.withColumn("__key", doc_key()).join(kept, F.col("__key") == F.col("__k"), "left").drop("__key", "__k")
+    lines = F.split("text", "\n", -1)
+    filled = F.size(F.filter(lines, lambda x: F.btrim(x, F.lit(" \t\r")) != ""))
+    counted = d.where("text is not null").select("key", filled.alias("filled"))
+    stay = kept.select("__k", F.size("__kept").alias("stay"))
+    losing = (counted.join(stay, F.col("key") == F.col("__k"), "left")
+              .where(F.col("filled") > F.coalesce("stay", F.lit(0))).select("key").distinct())
+    losing = materialize(losing, "lines-losing")
+    keyed = docs.withColumn("__key", doc_key())
+    out = perhaps_among(keyed, "__key", losing, "key").join(kept, F.col("__key") == F.col("__k"), "left").drop("__key", "__k")
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return out.mapInPandas(_keep, types + ", __lines long, __removed long")
+    changed = out.mapInPandas(_keep, types + ", __lines long, __removed long")
+    whole = surely_not_among(keyed, "__key", losing, "key").drop("__key")
+    number = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
+    return whole.withColumn("__lines", number).withColumn("__removed", F.lit(0).cast("long")).unionByName(changed)

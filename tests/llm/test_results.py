@@ -72,6 +72,20 @@ def test_lines_within_one_edit(spark, docs):
     assert near > 20
 
 
+def test_short_lines_within_one_edit(spark):
+    rng = random.Random(8)
+    texts = [(i, "\n".join("".join(rng.choice("abc") for _ in range(rng.randrange(1, 9))) for _ in range(4))) for i in range(30)]
+    got = {r.doc_id: r.text for r in lines.dedup(spark.createDataFrame(texts, "doc_id long, text string"), min_fuzzy=4).collect()}
+    seen = []
+    for i, text in texts:
+        stay = []
+        for line in text.split("\n"):
+            if not (line in seen or len(line) >= 4 and any(len(x) >= 4 and _distance_at_most_one(line, x) for x in seen)):
+                stay.append(line)
+            seen.append(line)
+        assert got[i] == "\n".join(stay), i
+
+
 def test_near_documents_against_all_pairs(docs, rows):
     shingles = {}
     for r in rows:
