@@ -290,19 +290,17 @@ def write_cells(tables: Mapping[str, DataFrame], name: str = "cells", chunk: int
 
 
 def ordered_text(rows: DataFrame, keys: Sequence[str], order: str, value: str, sep: str) -> DataFrame:
-    """keys, text: the texts ``value`` (never null) of each key joined by ``sep`` in the order of the whole number ``order``.
+    """keys, part, text: the texts ``value`` (never null) of each key joined by ``sep`` in the order of the whole number ``order``.
 
     Ranges of ``order`` are joined first, so no group holds more than a chunk.
-    Chunks become one text only where a key has at most ``WHOLE_BYTES``.  If
-    any key has more, all rows also get ``part``: a larger text stays in its
-    chunks, one row each with ``part`` 0, 1, ... in order (with gaps where no
-    row falls in a range), which ``sep`` would join to the whole; other texts
-    are part 0.  Costs a job that measures the keys."""
+    Chunks become one text only where a key has at most ``WHOLE_BYTES``, which
+    is then part 0.  A larger text stays in its chunks, one row each with
+    ``part`` 0, 1, ... in order (with gaps where no row falls in a range),
+    which ``sep`` would join to the whole."""
     k = list(keys)
     size = F.octet_length(F.col(value)) + len(sep)
     sizes = rows.groupBy(*[F.col(c).alias(f"__{c}") for c in k]).agg(
         F.sum(size).alias("__bytes"), F.max(size).alias("__longest"), F.min(order).alias("__first"))
-    any_large = not sizes.where(F.col("__bytes") > WHOLE_BYTES).isEmpty()
     same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in k])
     n = F.greatest(F.lit(1), F.least(F.lit(CHUNK_ROWS), F.floor(F.lit(CHUNK_BYTES) / F.col("__longest"))))
 
@@ -312,6 +310,5 @@ def ordered_text(rows: DataFrame, keys: Sequence[str], order: str, value: str, s
     chunks = (rows.join(sizes, same)                            # one row per text
               .withColumn("__chunk", F.floor((F.col(order) - F.col("__first")) / n))
               .groupBy(*k, "__bytes", "__chunk").agg(join_texts(value, order).alias("__text")))
-    part = F.when(F.col("__bytes") > WHOLE_BYTES, F.col("__chunk")).otherwise(F.lit(0))
-    out = chunks.withColumn("part", part).groupBy(*k, "part").agg(join_texts("__text", "__chunk").alias("text"))
-    return out if any_large else out.drop("part")
+    part = F.when(F.col("__bytes") > WHOLE_BYTES, F.col("__chunk")).otherwise(F.lit(0)).cast("long")
+    return chunks.withColumn("part", part).groupBy(*k, "part").agg(join_texts("__text", "__chunk").alias("text"))

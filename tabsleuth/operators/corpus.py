@@ -101,7 +101,7 @@ def column_docs(cells: DataFrame) -> DataFrame:
     """All values of a column joined by ``|`` in row order, doc_ord = col_id.
 
     A column of more than ``cells.WHOLE_BYTES`` stays in ordered ``part`` rows
-    (see `ordered_text`); the column ``part`` is there only if one is."""
+    (see `ordered_text`); any other is part 0."""
     v = cells.withColumn("_v", F.coalesce("value", _placeholder()))
     docs = ordered_text(v, ["table_id", "col_id"], "row_id", "_v", "|").withColumnRenamed("text", "page_content")
-    return docs.select("table_id", F.col("col_id").alias("doc_ord"), "page_content", "col_id", *[c for c in docs.columns if c == "part"])
+    return docs.select("table_id", F.col("col_id").alias("doc_ord"), "page_content", "col_id", "part")

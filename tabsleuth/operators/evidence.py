@@ -128,7 +128,7 @@ def markdown(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     A table of more than ``cells.WHOLE_BYTES`` stays in ordered ``part`` rows
     (see `ordered_text`), the header in the first; lines end parts, so a line
-    break joins them.  The column ``part`` is there only if one is so large."""
+    break joins them.  Any other table is part 0."""
     k = list(keys)
     hdr = (cells.select(*k, "col_id", "column_name").distinct()
            .groupBy(*k).agg(_ordered_join("column_name", "col_id", " | ").alias("_h"),
@@ -136,11 +136,9 @@ def markdown(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     rows = (cells.withColumn("_v", F.coalesce("value", F.lit("None")))
             .groupBy(*k, "row_id").agg(F.concat(F.lit("| "), _ordered_join("_v", "col_id", " | "), F.lit(" |")).alias("_r")))
     body = ordered_text(rows, k, "row_id", "_r", "\n")
-    part = [c for c in body.columns if c == "part"]
     top = F.concat(F.lit("| "), F.col("_h"), F.lit(" |\n|"), F.array_join(F.array_repeat(F.lit("---|"), F.col("_nc").cast("int")), ""))
-    if part:
-        top = F.when(F.col("part") == 0, top)
-    return hdr.join(body, k, "left").select(*k, F.concat_ws("\n", top, "text").alias("markdown"), *part)
+    top = F.when(F.col("part") == 0, top)
+    return hdr.join(body, k, "left").select(*k, F.concat_ws("\n", top, "text").alias("markdown"), "part")
 
 
 def size_guard(shape: DataFrame, limit: int, k: int | None = None) -> DataFrame:
@@ -160,13 +158,14 @@ def random_rows(cells: DataFrame, k: int, seed: int, keys: Sequence[str] = ("tab
 
 
 def random_context(cells: DataFrame, shape: DataFrame, k: int, seed: int, limit: int) -> DataFrame:
-    """table_id, context: k random rows of each table as a pipe table; tables whose sample would be
+    """table_id, context, part (see `markdown`): k random rows of each table as a pipe table; tables whose sample would be
     too large (3 * k * columns over ``limit``) answer with an error text and are not sampled."""
     guard = shape.withColumn("too_large", F.lit(3 * k) * F.col("n_cols") > limit)
     small = guard.where(~F.col("too_large")).select("table_id")
     md = markdown(random_rows(cells.join(small, "table_id", "left_semi"), k, seed), ["table_id"])
     return guard.join(md, "table_id", "left").select("table_id", F.when(F.col("too_large"), F.lit("Error: the table is too large."))
-                                                     .otherwise(F.col("markdown")).alias("context"))
+                                                     .otherwise(F.col("markdown")).alias("context"),
+                                                     F.coalesce("part", F.lit(0)).alias("part"))
 
 
 def preview(cells: DataFrame, shape: DataFrame, n: int) -> DataFrame:

@@ -20,8 +20,8 @@ from ..functions.text import WORD_PATTERN, is_numeric_text
 
 # Fixed value: punctuation stripped from both ends of a question token.
 EDGE_PUNCT = r"""^[.,;:!?'"()\[\]]+|[.,;:!?'"()\[\]]+$"""
-# Positions order queries first, lengths among those that begin together.
-POSITION = 1000
+# Positions order queries first, lengths among those that begin together; no text has 2^32 words.
+POSITION = 1 << 32
 
 
 def question_ngrams(questions: DataFrame, keys: Sequence[str], text_col: str = "question") -> DataFrame:

@@ -201,7 +201,7 @@ def row_corpus(spark, sf_dir):
 
 
 @register("column_corpus",
-          f"SELECT table_id, doc_ord, page_content FROM "
+          f"SELECT table_id, doc_ord, page_content, CAST(0 AS BIGINT) AS part FROM "
           f"{sql_column_docs(sql_budgeted_cells(X.sql_cells(['nation', 'part']), 1000))}")
 def column_corpus(spark, sf_dir):
     """Column documents over the leading rows under budget 1000."""
@@ -225,7 +225,7 @@ def row_corpus_whole(spark, sf_dir):
 
 
 @register("column_corpus_whole",
-          f"SELECT table_id, doc_ord, page_content FROM {sql_column_docs(X.sql_cells(['nation', 'part', 'supplier']))}")
+          f"SELECT table_id, doc_ord, page_content, CAST(0 AS BIGINT) AS part FROM {sql_column_docs(X.sql_cells(['nation', 'part', 'supplier']))}")
 def column_corpus_whole(spark, sf_dir):
     """A document of every whole column."""
     return K.column_docs(C.cells_of(X.star_tables(spark, sf_dir, ["nation", "part", "supplier"]))).drop("col_id")

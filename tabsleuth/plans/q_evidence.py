@@ -161,7 +161,7 @@ SQL_SHAPES = "WITH s AS (" + " UNION ALL ".join(
           SQL_SHAPES + f""", info AS (SELECT table_id, string_agg(column_name || ': ' || dtype || ', ' ||
   CAST(non_null AS VARCHAR) || ' non-null', chr(10) ORDER BY col_id) AS info FROM (SELECT table_id, col_id, column_name,
   dtype, count(value) AS non_null FROM {X.sql_cells(BASE_TABLES)} GROUP BY ALL) GROUP BY table_id)
-SELECT table_id, 'full' AS agent_type, markdown AS context FROM md UNION ALL SELECT table_id, 'schema', info FROM info""")
+SELECT table_id, 'full' AS agent_type, markdown AS context, CAST(0 AS BIGINT) AS part FROM md UNION ALL SELECT table_id, 'schema', info, 0 FROM info""")
 def context_by_baseline(spark, sf_dir):
     """Whole-table and schema-info contexts."""
     cells = C.cells_of(X.star_tables(spark, sf_dir, BASE_TABLES))
@@ -171,12 +171,12 @@ def context_by_baseline(spark, sf_dir):
                     F.col("non_null").cast("string"), F.lit(" non-null"))
     info = (ci.withColumn("_l", line).groupBy("table_id")
             .agg(EV._ordered_join("_l", "col_id", "\n").alias("context")))
-    return full.unionByName(info.select("table_id", F.lit("schema").alias("agent_type"), "context"), allowMissingColumns=True)
+    return full.unionByName(info.select("table_id", F.lit("schema").alias("agent_type"), "context", F.lit(0).cast("long").alias("part")))
 
 
 @register("context_guard",
           SQL_SHAPES + f"""SELECT s.table_id, CASE WHEN 3 * n_rows * n_cols > {GUARD_LIMIT}
-  THEN 'Error: the table is too large.' ELSE md.markdown END AS context FROM s JOIN md USING (table_id)""")
+  THEN 'Error: the table is too large.' ELSE md.markdown END AS context, CAST(0 AS BIGINT) AS part FROM s JOIN md USING (table_id)""")
 def context_guard(spark, sf_dir):
     """whole-table contexts behind the size guard; large tables are never rendered."""
     tabs = X.star_tables(spark, sf_dir, BASE_TABLES)
@@ -185,7 +185,7 @@ def context_guard(spark, sf_dir):
     md = EV.markdown(C.cells_of(tabs).join(small, "table_id", "left_semi"), ["table_id"])
     return guard.join(md, "table_id", "left").select("table_id", F.when(
         F.col("too_large"), F.lit("Error: the table is too large.")).otherwise(F.col("markdown")).alias("context"),
-        *[c for c in md.columns if c == "part"])
+        F.coalesce("part", F.lit(0)).alias("part"))
 
 
 def _sql_random_markdown(name: str, k: int, seed: int) -> str:
@@ -200,11 +200,11 @@ RANDOM_K = 8
 
 
 @register("context_random", SQL_SHAPES.split(", md AS")[0] + ", r AS (" + " UNION ALL ".join(_sql_random_markdown(n, RANDOM_K, 3) for n in BASE_TABLES) + f""")
-SELECT s.table_id, CASE WHEN 3 * {RANDOM_K} * n_cols > 140 THEN 'Error: the table is too large.' ELSE r.context END AS context FROM s JOIN r USING (table_id)""")
+SELECT s.table_id, CASE WHEN 3 * {RANDOM_K} * n_cols > 140 THEN 'Error: the table is too large.' ELSE r.context END AS context, CAST(0 AS BIGINT) AS part FROM s JOIN r USING (table_id)""")
 def context_random(spark, sf_dir):
     """Contexts of random rows of each table, in row order, behind the guard on the sample's size."""
     tabs = X.star_tables(spark, sf_dir, BASE_TABLES)
-    return EV.random_context(C.cells_of(tabs), P.table_shape_wide(tabs), RANDOM_K, 3, 140).select("table_id", "context")
+    return EV.random_context(C.cells_of(tabs), P.table_shape_wide(tabs), RANDOM_K, 3, 140)
 
 
 @register("table_preview",
@@ -226,7 +226,7 @@ def table_preview(spark, sf_dir):
   FROM {X.sql_wide_rendered('customer')})
 SELECT 'customer' AS table_id, '| {' | '.join(c for c, _ in X.STAR_SCHEMAS['customer'])} |' || chr(10) || '|' ||
   repeat('---|', {len(X.STAR_SCHEMAS['customer'])}) || chr(10) || '| ' || string_agg({" || ' | ' || ".join(
-      f"coalesce({c}, 'None')" for c, _ in X.STAR_SCHEMAS['customer'])}, ' |' || chr(10) || '| ' ORDER BY row_id) || ' |' AS markdown
+      f"coalesce({c}, 'None')" for c, _ in X.STAR_SCHEMAS['customer'])}, ' |' || chr(10) || '| ' ORDER BY row_id) || ' |' AS markdown, CAST(0 AS BIGINT) AS part
 FROM r WHERE k <= 5""")
 def random_sample(spark, sf_dir):
     """5 seeded-random rows of customer, rendered in row order."""

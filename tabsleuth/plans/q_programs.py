@@ -33,7 +33,7 @@ g AS (SELECT question_id, i AS pos, n, array_to_string(toks[i + 1:i + n], ' ') A
 v AS (SELECT DISTINCT lower(trim(value)) AS term FROM cells WHERE NOT is_numeric AND value IS NOT NULL),
 ch AS (SELECT g.* FROM g SEMI JOIN v USING (term) WHERE term <> '' AND NOT regexp_matches(term,
        '^\\s*[+-]?((\\d(_?\\d)*)(\\.(\\d(_?\\d)*)?)?|\\.\\d(_?\\d)*)([eE][+-]?\\d(_?\\d)*)?\\s*$|^\\s*[+-]?(?i:nan|inf|infinity)\\s*$')),
-cq AS (SELECT question_id, 'cell' AS kind, term AS query, CAST(arg_min(pos * 1000 + n, struct_pack(p := pos, n := n)) AS BIGINT)
+cq AS (SELECT question_id, 'cell' AS kind, term AS query, CAST(arg_min(pos * 4294967296 + n, struct_pack(p := pos, n := n)) AS BIGINT)
        AS query_pos FROM ch GROUP BY question_id, term),
 w AS (SELECT question_id, regexp_replace(w, 's$', '') AS tok, pos FROM (SELECT question_id,
         unnest(regexp_extract_all(lower(question), '[\\p{{L}}\\p{{N}}]+')) AS w,
