@@ -64,13 +64,3 @@ def test_expansion_contains_values(spark):
     got = {(r["kind"], r["query"]) for r in builtin_expand(q, cells_of({"t": t}), ["question_id"]).collect()}
     assert ("cell", "new york") in got and ("column", "city_name") in got
     assert not any(k == "cell" and v == "42" for k, v in got)
-
-
-def test_queries_of_a_long_question_keep_its_order(spark):
-    from tabsleuth.operators.cells import cells_of
-    from tabsleuth.operators.expand import builtin_expand
-    t = spark.createDataFrame([(0, " ".join(f"w{i}" for i in range(1100))), (1, "w1")], "row_id long, a string")
-    q = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(1100)))], "question_id long, question string")
-    got = {r["query"]: r["query_pos"] for r in builtin_expand(q, cells_of({"t": t}), ["question_id"]).where("kind = 'cell'").collect()}
-    whole = max(got, key=len)
-    assert len(got) == 2 and got[whole] < got["w1"]
