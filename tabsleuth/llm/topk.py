@@ -39,7 +39,7 @@ GROUP_ROWS = 1 << 16
 SETTLED = 16
 
 _INT = np.dtype("<i8")
-_BLOCK = "block long, g int, dim int, ids binary, data binary"
+_BLOCK = "block long, g long, dim int, ids binary, data binary"
 _STATE = "block long, query_id long, lo long, hi long, id_lo long, id_hi long, above long"
 _I64 = np.iinfo(np.int64)
 

@@ -331,7 +331,8 @@ def test_quality_draws_first(spark):
     assert np.mean([r.doc_id % 2 for r in got]) > 0.7          # two thirds of all are taken
 
 
-def test_top_k_with_large_ties(spark):
+def test_top_k_with_large_ties(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERY_ROWS", 5)      # several blocks of queries
     ship_package(spark)
     rng = np.random.default_rng(4)
     vec = rng.normal(size=(900, 6))
