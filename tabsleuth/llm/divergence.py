@@ -100,8 +100,11 @@ def _shares(n: np.ndarray, below: np.ndarray) -> np.ndarray:
 
 
 def _cell(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """The part of one term block in the divergences between two group blocks."""
+    """The part of one term block in the divergences between two group blocks.
+
+    Sources are ordered first, so a pair has the same direction in every term block."""
     lang, low, high, _ = key
+    rows = rows.sort_values("source", kind="stable", ignore_index=True)
     n_terms = int(rows["n_terms"].iloc[0])
     names = rows["source"].to_numpy(object)
     blocks = rows["gblock"].to_numpy(np.int64)

@@ -89,6 +89,17 @@ def test_divergence_over_many_blocks(make):
     assert sorted(map(tuple, got.collect())) == _brute_report(rows, 5, 7)
 
 
+def test_divergence_pairs_have_one_direction():
+    """The rows of a cell come in any order; the parts of a pair must meet under one key."""
+    import pandas as pd
+    rows = pd.DataFrame({"source": ["b", "a", "c"], "gblock": [0, 0, 0], "total": [3, 5, 0], "vocabulary": [2, 2, 2], "n_terms": [2, 2, 2],
+                         "ids": [[0], [0, 1], None], "ns": [[3], [2, 3], None]})
+    want = divergence._cell(("en", 0, 0, 0), rows)
+    assert list(zip(want["a"], want["b"])) == [("a", "b"), ("a", "c"), ("b", "c")]
+    for order in ([2, 1, 0], [1, 0, 2], [0, 2, 1]):
+        pd.testing.assert_frame_equal(divergence._cell(("en", 0, 0, 1), rows.iloc[order]), want)
+
+
 def test_divergence_odd_tables(odd, make):
     got = sorted(map(tuple, divergence.report(odd, min_docs=1).collect()))
     rows = [(r.doc_id, r.text, r.lang, r.source) for r in odd.collect()]
