@@ -64,3 +64,33 @@ def test_expansion_contains_values(spark):
     got = {(r["kind"], r["query"]) for r in builtin_expand(q, cells_of({"t": t}), ["question_id"]).collect()}
     assert ("cell", "new york") in got and ("column", "city_name") in got
     assert not any(k == "cell" and v == "42" for k, v in got)
+
+
+def test_shared_search_equals_scoring_every_query(spark):
+    """Rare and frequent tokens, queries of equal and of no known tokens, two texts under one key: the rows of a plain join."""
+    import random
+    from tabsleuth.operators import bm25
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(40)]
+    docs = [(c, i, " ".join(rng.choices(words, [1 / (j + 1) for j in range(40)], k=rng.randrange(0, 9)))) for c in "ab" for i in range(120)]
+    queries = [(i % 70, c, " ".join(rng.choices([*words, "unknown"], k=rng.randrange(0, 5)))) for i in range(90) for c in "abz"]
+    d = spark.createDataFrame(docs, "corpus_id string, doc_ord long, page_content string")
+    q = spark.createDataFrame(queries + queries[:6], "question_id long, corpus_id string, query string")
+    index = bm25.build_index(d)
+
+    def rows(df):
+        return sorted((r["question_id"], r["corpus_id"], r["doc_ord"], r["rank"], round(r["score"], 9)) for r in df.collect())
+    want = rows(bm25.top_k(bm25.score(q, index, ["question_id"]), ["question_id", "corpus_id"], 3))
+    for rare in (0, 5, 25, 1000):
+        assert rows(bm25.search(q, index, ["question_id"], 3, rare_docs=rare)) == want
+
+
+def test_least_of_each_row():
+    import numpy as np
+    from tabsleuth.operators.dense import _least
+    x = np.round(np.random.default_rng(2).random((30, 50)), 1)
+    x[3, :48] = np.nan
+    for k in (1, 4, 50, 60):
+        rows, cols = _least(x, k)
+        best = np.argsort(x, axis=1, kind="stable")[:, :k]
+        assert rows.tolist() == np.repeat(np.arange(30), best.shape[1]).tolist() and cols.tolist() == best.reshape(-1).tolist()
