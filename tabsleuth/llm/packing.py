@@ -56,11 +56,9 @@ class WordIds:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
-        self.plain = Tokenizer.from_file(path)
-        #: Texts with one of these hold ids that no other text gives; they are encoded whole.
-        self.special = [t.content for t in self.plain.get_added_tokens_decoder().values()]
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        #: Texts with one of these hold ids that no other text gives; they are encoded whole.
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.after: dict[str, bytes] = {}       # parts that follow a space, without it
         self.first: dict[str, bytes] = {}       # parts that begin a text
         vocab = self.tok.get_vocab()
@@ -92,7 +90,7 @@ class WordIds:
                 self.after[w] = raw[at[i]:at[i + 1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        whole = {i: np.asarray(self.plain.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        whole = {i: np.asarray(self.tok.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
                  for i, t in enumerate(texts) if t and any(s in t for s in self.special)}
         cut = [self.parts(t) if t and i not in whole else [] for i, t in enumerate(texts)]
         if len(self.after) > CACHE_WORDS:
@@ -100,13 +98,17 @@ class WordIds:
         if len(self.first) > CACHE_WORDS:
             self.first = {}
         after, first, seen = self.after, self.first, set()
-        for p in cut:
-            seen.update(p[1:])
-            if p and p[0] not in first:
-                first[p[0]] = self._one(p[0])
-        new = [w for w in seen if w not in after]
-        if new:
-            self._learn(new)
+        self.tok.encode_special_tokens = True       # a part is plain text, whatever it looks like
+        try:
+            for p in cut:
+                seen.update(p[1:])
+                if p and p[0] not in first:
+                    first[p[0]] = self._one(p[0])
+            new = [w for w in seen if w not in after]
+            if new:
+                self._learn(new)
+        finally:
+            self.tok.encode_special_tokens = False
         known = after.__getitem__
         return [first[p[0]] + b"".join(map(known, p[1:])) if p else whole.get(i, b"") for i, p in enumerate(cut)]
 
