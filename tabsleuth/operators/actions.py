@@ -103,11 +103,27 @@ def _union(parts):
     return out
 
 
+def _named(nodes: DataFrame) -> DataFrame:
+    """table_id, col of the cells that the programs may read: a few rows for each table."""
+    def texts(*arrays):
+        return F.explode(F.flatten(F.array(*[F.coalesce(a, F.array().cast("array<string>")) for a in arrays])))
+
+    def of(name):
+        return F.transform(name, lambda s: s["col"]), F.transform(name, lambda s: s["table_id"])
+    (test_col, test_table), (sort_col, sort_table) = of("tests"), of("sort")
+    tables = nodes.select("program_id", texts(F.array("table_id", "right_table"), test_table, sort_table).alias("table_id"))
+    cols = nodes.select("program_id", texts(F.array("left_on", "right_on", "distinct_col", "col", "key_col"), test_col, sort_col).alias("col"))
+    named = tables.distinct().join(cols.distinct(), "program_id").select("table_id", "col").where("table_id is not null and col is not null")
+    return materialize(named.distinct(), "action-columns")
+
+
 class _Run:
     """The state of one evaluation.  ``has``: what occurs at the present level, so that steps nobody asks for are left out."""
 
-    def __init__(self, cells: DataFrame):
-        self.c = _comparable(cells)
+    def __init__(self, cells: DataFrame, nodes: DataFrame):
+        # a row's identity needs one cell of it, any other cell is one that some program names: written once
+        self.every = cells.select("table_id", "row_id")
+        self.c = materialize(_comparable(cells).join(_named(nodes), ["table_id", "col"], "left_semi"), "action-cells")
         self.has: dict[str, bool] = {}
         self.rows: list[DataFrame] = []          # program_id, node, p1, p2 (place), row1, row2
         self.values: list[DataFrame] = []        # program_id, node, pos, kk, key, key_x, k, value, x
@@ -227,7 +243,8 @@ class _Run:
 
     def step_rows(self, nodes: DataFrame) -> None:
         table = nodes.where("source is null")
-        whole = table.where("tests is null").join(self.c.select("table_id", "row_id").distinct(), "table_id").select(
+        wanted = table.where("tests is null").select(*_PN, "table_id")
+        whole = wanted.join(self.every.join(wanted.select("table_id").distinct(), "table_id", "left_semi").distinct(), "table_id").select(
             *_PN, F.col("row_id").alias("row1"), F.lit(None).cast("long").alias("row2"))
         found = [_union([whole, self.tested(table.where("tests is not null"), None)]).select(
             *_PN, F.col("row1").alias("p1"), F.lit(None).cast("long").alias("p2"), "row1", "row2")]
@@ -418,7 +435,7 @@ def run_actions(actions: DataFrame, frames: DataFrame, cells: DataFrame, max_cha
     """actions(program_id, action) -> program_id, answer, is_error."""
     compiled = materialize(compile_actions(actions, frames), "actions")
     nodes = materialize(compiled.select("program_id", F.explode("nodes").alias("n")).select("program_id", "n.*"), "action-nodes")
-    exprs = _Run(cells).run(nodes, max_chars)
+    exprs = _Run(cells, nodes).run(nodes, max_chars)
     plain = compiled.select("program_id", "answer_node", F.col("error").alias("broken"))
     if exprs is None:
         got = plain.withColumn("text", F.lit(None).cast("string")).withColumn("failed", F.lit(None).cast("string"))
