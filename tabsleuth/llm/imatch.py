@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import shuffle_parts
-from .words import WordHashes, mix64
+from .words import mix64, word_hashes
 
 #: The band, as shares of the documents: inverse document frequencies of ln 2 to ln 1000.
 LOW, HIGH = 0.001, 0.5
@@ -39,7 +39,6 @@ EMPTY = "-" * 8
 FLUSH = 400_000
 
 _CUTS = np.array([int(r * 2 ** 64) for r in RATES], dtype=np.uint64)
-_HASHES = WordHashes()
 
 
 def _count_terms(batches):
@@ -49,7 +48,7 @@ def _count_terms(batches):
 
     def flush():
         words = list(seen)
-        out = pd.DataFrame({"term": _HASHES.of(words).view(np.int64), "df": np.fromiter(seen.values(), np.int64, len(words))})
+        out = pd.DataFrame({"term": word_hashes(words).view(np.int64), "df": np.fromiter(seen.values(), np.int64, len(words))})
         seen.clear()
         return out
     for b in batches:
@@ -79,7 +78,7 @@ class Subsets:
         self.members = np.stack([mix64(lex, j + 1) < cut for j, cut in enumerate(_CUTS)])
 
     def fingerprint(self, text: str) -> str:
-        h = np.unique(_HASHES.of(list(set(TERM.findall(text.lower())))))
+        h = np.unique(word_hashes(list(set(TERM.findall(text.lower())))))
         if len(self.lex) and len(h):
             at = np.searchsorted(self.lex, h)
             at[at == len(self.lex)] = 0
